@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: Characters of text that one call of a batch function handles at most,
 #: unless a single text is longer (a text is never cut).
-CHUNK_CHARS = 24_000_000
+CHUNK_CHARS = 6_000_000
 
 
 def ready(spark: SparkSession) -> SparkSession:
