@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontaminate, langid, simhash
+from tessera.llm import bpe, chat, decontaminate, langid, simhash, substring
 from tessera.llm.common import ready, table
 
 
@@ -21,6 +21,11 @@ def _part(of: int) -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(table(spark, sf_dir, "documents"), *_tokenizer())
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
