@@ -4,20 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a reliable checkpoint.
-
-    The folder is the session's ``spark.checkpoint.dir``; one of our own is
-    made only where none is set (a local session, as in tests).
-    """
-    spark = df.sparkSession
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, shared by all executors; a
+    folder of our own only where none is set (a local session, as in tests)."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows from a reliable checkpoint, so that what follows can be
+    run again without what came before."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
