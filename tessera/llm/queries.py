@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontaminate, langid, simhash, substring, vectors
+from tessera.llm import bpe, chat, decontaminate, langid, simhash, substring, toxicity, vectors
 from tessera.llm.common import ready, table
 
 
@@ -21,6 +21,13 @@ def _part(of: int) -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(_part(4) == 2, F.lit(False)))
+    model = toxicity.fit(docs.where("not held_out"), table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, keep=("doc_id", "held_out"))
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.CUT).cast("int"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = substring.remove_repeats(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
