@@ -1,3 +1,81 @@
-"""placeholder"""
-STAGES = []
-def run(spark, sf_dir): ...
+"""From raw documents to token ids: the stages, each on what the last kept.
+
+Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run``
+writes it as Parquet in the session's shared checkpoint folder and reads it
+again for the next.  All but the last return the columns of ``docs``.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, decontaminate, langid, pii, simhash
+from tessera.llm.common import ready, table
+from tessera.llm.queries import tokenizer
+from tessera.operators.components import checkpoint_dir
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents with a language: rejected are texts that are null or
+    without a letter (``und``).  ``lang`` becomes the language found."""
+    profile = langid.fit(docs)
+    names = docs.columns
+    told = langid.identify(ready(spark) and docs.withColumn("__text", F.col("text")), profile, text="__text", keep=tuple(names))
+    return told.where("lang_pred <> 'und'").withColumn("lang", F.col("lang_pred")).select(*names)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each group of near-duplicates, once."""
+    found = simhash.near_duplicates(docs)
+    keep = found.where("doc_id = component_id").select("doc_id").distinct()
+    # Rows repeated under one id are one document: the least by content stays.
+    kept = docs.join(keep, "doc_id", "left_semi")
+    twice = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    single = kept.join(twice, "doc_id", "left_anti")
+    return single.union(kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("r")).select(*[F.col("doc_id") if c == "doc_id" else F.col(f"r.{c}").alias(c) for c in docs.columns]))
+
+
+def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the benchmark contaminates."""
+    names = tuple(docs.columns)
+    scanned = decontaminate.scan(docs.withColumn("__text", F.col("text")), table(spark, sf_dir, "benchmark"), text="__text", keep=names)
+    return scanned.where(~((F.size("hit") > 0) & (F.size("hit") * 20 >= F.col("n_words")))).select(*names)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts the kind in brackets in place of personal data; keeps all rows."""
+    names = docs.columns
+    found = pii.detect(docs, pii.trained(), keep=tuple(c for c in names if c != "text"), redacted=True)
+    return found.withColumnRenamed("redacted", "text").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*names)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every text, and whether they decode to it again."""
+    keep = ("doc_id", "lang", "source", "n_chars", "text")
+    coded = bpe.encode(docs.withColumn("__text", F.col("text")), *tokenizer(), text="__text", keep=keep)
+    same = F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary"), F.lit(False))
+    return coded.select("doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("bigint").alias("n_tokens"), same.alias("round_trip"))
+
+
+STAGES = [
+    ("language_id", language),
+    ("simhash_near_dedup", near_duplicates),
+    ("benchmark_decontamination", contamination),
+    ("pii", personal_data),
+    ("byte_bpe", tokens),
+]
+
+#: Trained models and hashed fingerprints are not expressible in SQL.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    base = f"{checkpoint_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}_{name}")
+        docs = spark.read.parquet(f"{base}/{k}_{name}")
+    return docs
