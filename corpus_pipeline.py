@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, langid, pii, simhash
-from tessera.llm.common import ready, table
+from tessera.llm.common import table
 from tessera.llm.queries import tokenizer
 from tessera.operators.components import checkpoint_dir
 
@@ -21,9 +21,9 @@ from tessera.operators.components import checkpoint_dir
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a language: rejected are texts that are null or
     without a letter (``und``).  ``lang`` becomes the language found."""
-    profile = langid.fit(docs)
     names = docs.columns
-    told = langid.identify(ready(spark) and docs.withColumn("__text", F.col("text")), profile, text="__text", keep=tuple(names))
+    profile = langid.fit(docs)
+    told = langid.identify(docs.withColumn("__text", F.col("text")), profile, text="__text", keep=tuple(names))
     return told.where("lang_pred <> 'und'").withColumn("lang", F.col("lang_pred")).select(*names)
 
 
@@ -32,10 +32,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = simhash.near_duplicates(docs)
     keep = found.where("doc_id = component_id").select("doc_id").distinct()
     # Rows repeated under one id are one document: the least by content stays.
-    kept = docs.join(keep, "doc_id", "left_semi")
-    twice = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    single = kept.join(twice, "doc_id", "left_anti")
-    return single.union(kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("r")).select(*[F.col("doc_id") if c == "doc_id" else F.col(f"r.{c}").alias(c) for c in docs.columns]))
+    rest = [c for c in docs.columns if c != "doc_id"]
+    one = docs.join(keep, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("r"))
+    return one.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"r.{c}").alias(c) for c in docs.columns])
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -382,6 +382,7 @@ def _redact(text: str, spans: list[tuple[int, int, int, bool]]) -> str:
 def digest(found: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Counts by kind (all spans), the hash of the base spans, all spans."""
     show = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in KINDS]
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == F.lit(k))).cast("bigint")
+    counts = [count(k).alias(f"n_{k}") for k in KINDS]
     base = F.array_join(F.transform(F.filter("spans", lambda s: s["base"]), show), ",")
     return found.select(*keep, *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), F.array_join(F.transform("spans", show), ",").alias("spans"))
