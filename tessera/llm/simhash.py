@@ -23,6 +23,9 @@ from tessera.operators.components import components, cut
 
 #: Rows of one probe key above which the key is dealt out in pairs of tiles.
 TILE = 4096
+#: Comparisons of two fingerprints (nanoseconds, vectorised) that cost as
+#: much as one probe row (made, shuffled and sorted).
+PROBE = 500
 
 
 def _fingerprint(text: str, width: int) -> int:
@@ -102,12 +105,12 @@ def allocate(groups: list[list[int]], pairs: list[float], n: int, max_bits: int)
 
     ``pairs``: equal pairs in each partition, counted over all rows.  Pairs
     that differ are estimated as spread evenly over the keys.  A probe key
-    costs as much as a candidate.
+    costs as much as PROBE candidates.
     """
     def cost(i: int, t: int) -> float:
         width = len(groups[i])
         near = sum(comb(width, d) for d in range(t + 1))
-        return (pairs[i] + n * n / 2 * (near - 1) / 2**width + n * near) if t >= 0 else 0.0
+        return (pairs[i] + n * n / 2 * (near - 1) / 2**width + PROBE * n * near) if t >= 0 else 0.0
 
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for i in range(len(groups)):
