@@ -9,9 +9,10 @@ as it depends on nothing outside; the longest symbol of the core, at the
 highest level that has one, is the window's key.  Consecutive windows with
 one key symbol make a segment.
 
-Equal segments are found by one aggregation.  Windows are compared one by
-one only in the segments whose key also has other segments, and there only
-in the first document of each segment.
+Equal segments are found by one aggregation.  A window reaches at least half
+of its remaining length to one side of its key symbol, so equal windows in
+unequal segments agree there: windows are compared one by one only where that
+side is shared by several segments, and only in each segment's first document.
 """
 
 from __future__ import annotations
@@ -23,14 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_texts
+from tessera.llm.common import _chunks
 from tessera.operators.components import checkpoint_dir
 
 #: Rounds of pair naming; in those listed runs are named first.
 ROUNDS, RUNS = 4, (0, 2)
-#: Most bits of the filter that tells which segments need their windows
-#: compared (32 MB); it has 16 for each, down to 2**20.
+#: Most bits of a filter (32 MB); it has 16 for each entry, down to 2**20.
 FILTER_BITS = 1 << 28
+#: Characters of text parsed at a time, at most (a text is never cut).
+PART = 4_000_000
 _M = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _U = np.uint64
 
@@ -140,7 +142,7 @@ class Parse:
     def _keys(self, level: _Level, edge: np.ndarray) -> None:
         p = self.p
         lo, hi = p.copy(), p + self.window
-        key, at = np.zeros(len(p), np.uint64), np.zeros(len(p), np.int64)
+        key, at, size = np.zeros(len(p), np.uint64), np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
         live = np.arange(len(p))
         for t in range(ROUNDS):
             below, low, high = level, lo, hi
@@ -153,16 +155,25 @@ class Parse:
                     lo, hi, rest = lo[good], hi[good], rest[good]
             out = np.ones(len(live), bool)
             out[rest] = False
-            self._choose(below, low[out], high[out], live[out], key, at, t)
+            self._choose(below, low[out], high[out], live[out], key, at, size, t)
             live = live[rest]
-        self._choose(level, lo, hi, live, key, at, ROUNDS)
+        self._choose(level, lo, hi, live, key, at, size, ROUNDS)
         new = np.ones(len(p), bool)
         new[1:] = (at[1:] != at[:-1]) | (key[1:] != key[:-1]) | (p[1:] != p[:-1] + 1)
         heads = np.flatnonzero(new)
-        self.seg_start, self.seg_n, self.seg_key = p[heads], np.diff(np.append(heads, len(p))), key[heads]
+        self.start, self.n = p[heads], np.diff(np.append(heads, len(p)))
+        self.at, self.size, key = at[heads], size[heads], key[heads]
+        # What equal windows share to the left or to the right of the symbol.
+        self.reach = (self.window - self.size + 1) // 2
+        self.has_left = self.start <= self.at - self.reach
+        self.has_right = self.start + self.n - 1 + self.window - self.at - self.size >= self.reach
+        none = np.zeros(len(heads), np.uint64)
+        self.left, self.right = none.copy(), none.copy()
+        for has, out, a, b, mark in ((self.has_left, self.left, self.at - self.reach, self.at + self.size, 1), (self.has_right, self.right, self.at, self.at + self.size + self.reach, 2)):
+            out[has] = _mix(self.hash(a[has], b[has], 0) + _mix(key[has] + _U(mark)))
 
     @staticmethod
-    def _choose(level: _Level, lo: np.ndarray, hi: np.ndarray, live: np.ndarray, key: np.ndarray, at: np.ndarray, t: int) -> None:
+    def _choose(level: _Level, lo: np.ndarray, hi: np.ndarray, live: np.ndarray, key: np.ndarray, at: np.ndarray, size_: np.ndarray, t: int) -> None:
         """Of the symbols between two words the longest, of like ones the
         one of the largest hash, of equal ones the first."""
         if not len(live):
@@ -186,115 +197,157 @@ class Parse:
             k += 1
         key[live] = _mix(level.name[best] + _U(t * int(_M[1]) % 2**64))
         at[live] = level.start[best]
+        size_[live] = np.append(level.start, level.n)[best + 1] - level.start[best]
+
+
+def _hashed(part: pa.RecordBatch) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Texts, hashes of them, and ids of (id, text) rows."""
+    import xxhash
+
+    texts = [t or "" for t in part.column(1).to_pylist()]
+    th = np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], np.uint64).view(np.int64)
+    return texts, th, part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _segments(df: DataFrame, window: int) -> DataFrame:
-    """doc_id, th (a hash of the text), start, n, key, h1, h2."""
+    """doc_id, th (a hash of the text), start, n, ctx_l, ctx_r, h1, h2."""
 
     def run(batches):
-        import xxhash
-
         for batch in batches:
-            for part in _slices(batch):
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                th = np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], np.uint64).view(np.int64)
+            for part in _chunks(batch, PART):
+                texts, th, ids = _hashed(part)
                 got = Parse(texts, window)
                 if len(got.p):
-                    a, n = got.seg_start, got.seg_n
+                    a, n = got.start, got.n
                     d = got.doc[a]
-                    ids = part.column(0).to_numpy(zero_copy_only=False)
                     h = [got.hash(a, a + n + window - 1, i).view(np.int64) for i in (0, 1)]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[d].astype(np.int64)), pa.array(th[d]), pa.array((a - got.first[d]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(got.seg_key.view(np.int64)), *map(pa.array, h)], names=["doc_id", "th", "start", "n", "key", "h1", "h2"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[d]), pa.array(th[d]), pa.array((a - got.first[d]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(got.left.view(np.int64), mask=~got.has_left), pa.array(got.right.view(np.int64), mask=~got.has_right), *map(pa.array, h)], names=["doc_id", "th", "start", "n", "ctx_l", "ctx_r", "h1", "h2"])
 
-    return df.where("doc_id is not null").mapInArrow(run, "doc_id bigint, th bigint, start int, n int, key bigint, h1 bigint, h2 bigint")
+    return df.where("doc_id is not null").mapInArrow(run, "doc_id bigint, th bigint, start int, n int, ctx_l bigint, ctx_r bigint, h1 bigint, h2 bigint")
 
 
-def _slices(batch: pa.RecordBatch, most: int = 4_000_000):
-    from tessera.llm.common import _chunks
+class Filter:
+    """A Bloom filter of 64-bit numbers: what it lacks was never put in; the
+    few false finds cost work, not correctness."""
 
-    return _chunks(batch, most)
+    def __init__(self, packed: np.ndarray):
+        self.packed = packed
 
+    @staticmethod
+    def slots(x: np.ndarray, size: int) -> np.ndarray:
+        h = _mix(x.view(np.uint64))
+        return np.stack([h & _U(size - 1), (h >> _U(32)) & _U(size - 1)])
 
-def _slot(doc: np.ndarray, th: np.ndarray, key: np.ndarray, size: int) -> np.ndarray:
-    h = _mix(key.view(np.uint64) ^ _mix(doc.view(np.uint64) * _M[0] + th.view(np.uint64)))
-    return np.stack([h & _U(size - 1), (h >> _U(32)) & _U(size - 1)])
+    def has(self, x: np.ndarray) -> np.ndarray:
+        at = self.slots(np.ascontiguousarray(x), 8 * len(self.packed))
+        return ((self.packed[at >> _U(3)] >> (_U(7) - (at & _U(7))).astype(np.uint8)) & 1).all(axis=0)
 
+    @staticmethod
+    def of(numbers: DataFrame, count: int) -> Filter:
+        """From one bigint column; at most FILTER_BITS whatever the count."""
+        size = min(FILTER_BITS, 1 << max(20, (16 * count).bit_length()))
 
-def _filter(pairs: DataFrame) -> np.ndarray:
-    """A Bloom filter of (doc_id, th, key), of at most FILTER_BITS whatever
-    the number of rows; a false positive costs work, not correctness."""
-    size = min(FILTER_BITS, 1 << max(20, (16 * pairs.count()).bit_length()))
+        def run(batches):
+            bits = np.zeros(size, bool)
+            for b in batches:
+                bits[Filter.slots(np.ascontiguousarray(b.column(0).to_numpy(zero_copy_only=False)), size).ravel()] = True
+            packed = np.packbits(bits).reshape(-1, 4096)
+            some = np.flatnonzero(packed.any(axis=1))
+            for at in range(0, len(some), 256):
+                part = some[at : at + 256]
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([x.tobytes() for x in packed[part]], pa.binary())], names=["block", "bits"])
 
-    def run(batches):
-        bits = np.zeros(size, bool)
-        for b in batches:
-            cols = [np.ascontiguousarray(b.column(i).to_numpy(zero_copy_only=False)) for i in range(3)]
-            bits[_slot(*cols, size).ravel()] = True
-        packed = np.packbits(bits).reshape(-1, 4096)
-        some = np.flatnonzero(packed.any(axis=1))
-        for at in range(0, len(some), 256):
-            part = some[at : at + 256]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([x.tobytes() for x in packed[part]], pa.binary())], names=["block", "bits"])
+        out = np.zeros((size // 8 // 4096, 4096), np.uint8)
+        for r in numbers.mapInArrow(run, "block int, bits binary").toLocalIterator():  # a partition's filter at a time
+            out[r.block] |= np.frombuffer(r.bits, np.uint8)
+        return Filter(out.ravel())
 
-    out = np.zeros((size // 8 // 4096, 4096), np.uint8)
-    for r in pairs.mapInArrow(run, "block int, bits binary").toLocalIterator():  # a partition's filter at a time
-        out[r.block] |= np.frombuffer(r.bits, np.uint8)
-    return out.ravel()
 
+def _of_doc(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return (_mix(doc.view(np.uint64) * _M[0]) ^ h.view(np.uint64)).view(np.int64)
 
-def _windows(df: DataFrame, window: int, filter_: np.ndarray) -> DataFrame:
-    """doc_id, th, start, w1, w2 of each window in the segments of the filter."""
-    shared = df.sparkSession.sparkContext.broadcast(filter_)  # at most FILTER_BITS
 
-    def run(batches):
-        import xxhash
+def _windows(df: DataFrame, window: int, filters: tuple[Filter, Filter, Filter]) -> DataFrame:
+    """doc_id, th, start, w1, w2 of the windows to compare: ``filters`` tell
+    shared sides, segments of several documents, and those' first documents."""
+    shared = df.sparkSession.sparkContext.broadcast(filters)  # at most FILTER_BITS each
 
-        bits = shared.value
+    def run(batches):
+        sides, again, firsts = shared.value
         for batch in batches:
-            for part in _slices(batch):
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                th = np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], np.uint64).view(np.int64)
-                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for part in _chunks(batch, PART):
+                texts, th, ids = _hashed(part)
                 got = Parse(texts, window)
                 if not len(got.p):
                     continue
-                d = got.doc[got.seg_start]
-                slots = _slot(ids[d], th[d], got.seg_key.view(np.int64), 8 * len(bits))
-                good = ((bits[slots >> _U(3)] >> (_U(7) - (slots & _U(7))).astype(np.uint8)) & 1).all(axis=0)
-                a, n = got.seg_start[good], got.seg_n[good]
-                if not len(a):
+                d = got.doc[got.start]
+                h = got.hash(got.start, got.start + got.n + window - 1, 0).view(np.int64)
+                left, right = got.has_left & sides.has(got.left), got.has_right & sides.has(got.right)
+                good = (left | right) & (~again.has(h) | firsts.has(_of_doc(ids[d], h)))
+                if not good.any():
                     continue
-                first = np.concatenate([[0], np.cumsum(n)])
-                p = np.arange(first[-1]) + np.repeat(a - first[:-1], n)
+                a, n = got.start[good], got.n[good]
+                before = np.concatenate([[0], np.cumsum(n)])
+                k = np.repeat(np.flatnonzero(good), n)
+                p = np.arange(before[-1]) + np.repeat(a - before[:-1], n)
+                p = p[left[k] & (got.at[k] - p >= got.reach[k]) | right[k] & (p + window - got.at[k] - got.size[k] >= got.reach[k])]
                 d = got.doc[p]
-                for at in range(0, len(p), 200_000):
-                    q, e = p[at : at + 200_000], d[at : at + 200_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[e]), pa.array(th[e]), pa.array((q - got.first[e]).astype(np.int32)), *(pa.array(got.hash(q, q + window, i).view(np.int64)) for i in (0, 1))], names=["doc_id", "th", "start", "w1", "w2"])
+                for i in range(0, len(p), 200_000):
+                    q, e = p[i : i + 200_000], d[i : i + 200_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[e]), pa.array(th[e]), pa.array((q - got.first[e]).astype(np.int32)), *(pa.array(got.hash(q, q + window, j).view(np.int64)) for j in (0, 1))], names=["doc_id", "th", "start", "w1", "w2"])
 
     return df.where("doc_id is not null").mapInArrow(run, "doc_id bigint, th bigint, start int, w1 bigint, w2 bigint")
 
 
+def _kept(segs: DataFrame, again: Filter) -> DataFrame:
+    """Segments that the filter has, before they are shuffled."""
+    shared = segs.sparkSession.sparkContext.broadcast(again)
+
+    def run(batches):
+        for b in batches:
+            good = pa.array(shared.value.has(b.column(b.schema.get_field_index("h1")).to_numpy()))
+            yield b.filter(good)
+
+    return segs.mapInArrow(run, segs.schema)
+
+
+def _drop(spark, path: str) -> None:
+    """Deletes a folder that we wrote."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def repeats(df: DataFrame, window: int = 50) -> DataFrame:
     """``doc_id, th, start, n``: stretches of ``n`` windows, from the word
     ``start`` on, that also start in a document with a smaller id."""
     spark = df.sparkSession
     base = f"{checkpoint_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    stored = lambda name: spark.read.parquet(f"{base}/{name}")
     _segments(df, window).write.parquet(f"{base}/segments")
-    segs = spark.read.parquet(f"{base}/segments")
-    firsts = segs.groupBy("key", "h1", "h2").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.max(F.struct("doc_id", "th")).alias("top"))
-    firsts.select("key", "h1", "h2", "rep", (F.col("rep.doc_id") < F.col("top.doc_id")).alias("again")).write.parquet(f"{base}/firsts")
-    firsts = spark.read.parquet(f"{base}/firsts")
-    shared = firsts.where("again").select("key", "h1", "h2", F.col("rep.doc_id").alias("rep_id"))
-    whole = segs.join(shared, ["key", "h1", "h2"]).where("doc_id > rep_id").select("doc_id", "th", "start", "n")
-    # Keys with several segments, of several documents: their windows are compared.
-    several = firsts.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep.doc_id").alias("lo"), F.max("rep.doc_id").alias("hi")).where("c > 1 and lo < hi").select("key")
-    pairs = firsts.join(several, "key", "left_semi").select("rep.doc_id", "rep.th", "key").distinct()
-    found = _windows(df, window, _filter(pairs))
-    found.write.parquet(f"{base}/windows")
-    found = spark.read.parquet(f"{base}/windows")
+    segs = stored("segments")
+    # One row a segment; its sides are a function of its words.
+    segs.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("ctx_l").alias("ctx_l"), F.max("ctx_r").alias("ctx_r")).write.parquet(f"{base}/firsts")
+    firsts = stored("firsts")
+    shared = firsts.where("lo < hi")
+    n = shared.count()
+    again = Filter.of(shared.select("h1"), n)
+    whole = _kept(segs.select("doc_id", "th", "start", "n", "h1", "h2"), again).join(shared.select("h1", "h2", "lo"), ["h1", "h2"]).where("doc_id > lo").select("doc_id", "th", "start", "n")
+    sides = firsts.select(F.explode(F.array("ctx_l", "ctx_r")).alias("x")).where("x is not null").groupBy("x").count().where("count > 1").select("x")
+    sides.write.parquet(f"{base}/sides")
+
+    def first(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_of_doc(b.column(0).to_numpy(), b.column(1).to_numpy()))], names=["x"])
+
+    filters = Filter.of(stored("sides"), stored("sides").count()), again, Filter.of(shared.select("lo", "h1").mapInArrow(first, "x bigint"), n)
+    _windows(df, window, filters).write.parquet(f"{base}/windows")
+    found = stored("windows")
     twice = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("w1", "w2", "lo")
     single = found.join(twice, ["w1", "w2"]).where("doc_id > lo").select("doc_id", "th", "start", F.lit(1).alias("n"))
-    return whole.union(single)
+    whole.union(single).write.parquet(f"{base}/stretches")
+    for name in ("segments", "firsts", "sides", "windows"):  # nothing reads them again
+        _drop(spark, f"{base}/{name}")
+    return stored("stretches")
 
 
 def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = 50) -> DataFrame:
