@@ -580,3 +580,21 @@ def _isnumeric(a, t):
     if not isinstance(t[0], T.StringType):
         return a[0].isNotNull() if isinstance(t[0], T.NumericType) else F.lit(False)
     return F.coalesce(a[0].rlike(r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"), F.lit(False))
+
+
+_CATEGORIES = {
+    "conditional": "IIF NZ COALESCE NULLIF SWITCH CHOOSE",
+    "conversion": "CSTR CINT CDBL CBOOL TO_CHAR FORMAT",
+    "json": "JSON_VALUE JSON_QUERY JSON_EXTRACT",
+    "math": "ABS INT FIX ROUND CEIL SGN SQR LOG LOG10 EXP SIN COS TAN ATN ASIN ACOS ATAN2 DEGREES RADIANS PI POWER MOD RAND TRUNC",
+    "nested": "ENTRIES ARRAY_TO_STRING CARDINALITY",
+    "ordering": "LEAST GREATEST",
+    "similarity": "LEVENSHTEIN EDITSIMILARITY JAROWINKLER TRIGRAM SOUNDEX",
+    "typecheck": "ISNULL ISNUMERIC",
+    "datetime": "NOW CURRENT_DATE CURRENT_TIME YEAR MONTH DAY HOUR MINUTE SECOND DOW ISODOW DOY WEEK ISOYEAR QUARTER EPOCH TIMEZONE FROM_TZ MAKE_DATE LAST_DAY DATEDIFF DATE_TRUNC DATEADD ADD_MONTHS DATE_ADD DATE_SUB AGE MINUTES SECONDS DAYS TO_DATE TO_TIMESTAMP TO_TIME TO_TIMESTAMPTZ",
+}
+
+
+def category(name: str) -> str:
+    """The family that a function is listed under."""
+    return next((k for k, names in _CATEGORIES.items() if name in names.split()), "string")

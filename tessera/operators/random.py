@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.plans import ir
 from tessera.plans.lexer import AlgebraError
 from tessera.plans.lower import Lowering, handles
-from tessera.plans.scope import Scope
+from tessera.plans.scope import Endless, Scope
 
 
 def _rand(seed):
@@ -39,7 +39,7 @@ def _roll(lo: Lowering, n: ir.Roll, outer) -> Scope:
     s = lo.finite(n.input, outer)
     weight = lo.value(n.weight, s, outer).cast("double") if n.weight is not None else F.lit(1.0)
 
-    def draws(count: int, offset: int) -> Scope:
+    def draws(count: int, offset: int = 0) -> Scope:
         faces = s.df.withColumn("__w", F.coalesce(weight, F.lit(0.0)))
         total, least, many = faces.agg(F.sum("__w"), F.min("__w"), F.count(F.lit(1))).first()
         if not many:
@@ -60,4 +60,4 @@ def _roll(lo: Lowering, n: ir.Roll, outer) -> Scope:
         met = rolls.join(faces, (F.col("__d") == F.col("__c")) & (F.col("__u") >= F.col("__lo")) & ((F.col("__u") < F.col("__hi")) | (F.col("__hi") >= 1 - 1e-12)))
         return s.with_df(met.select(*[x.id for x in s.cols]))
 
-    return Scope(s.df, s.cols, endless=draws)
+    return Scope(s.df, s.cols, endless=Endless(draws))

@@ -20,6 +20,8 @@ from tessera.plans.lexer import AlgebraError
 from tessera.plans.scope import Column, Scope, c, fresh
 
 HANDLERS: dict[type, Callable] = {}
+#: Operators that cannot run over a stream.
+NEEDS_ALL = (ir.Sort, ir.Limit, ir.Top, ir.Window, ir.Rolling, ir.Sessionize, ir.Pivot, ir.Tree, ir.Closure, ir.Cluster, ir.Path, ir.Trace, ir.Fix, ir.Iterate, ir.Shuffle, ir.Solve, ir.Optimize, ir.Cover, ir.Divide, ir.AsOf)
 _TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 _EXACT = (T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.DecimalType)
 _CASTS = {"NUMBER": "decimal(38,10)", "STRING": "string", "BOOLEAN": "boolean", "DATE": "date", "TIMESTAMP": "timestamp", "TIME": "string"}
@@ -46,7 +48,10 @@ class Lowering:
     def rel(self, node: ir.Node, outer: tuple[Scope, ...] = ()) -> Scope:
         if type(node) not in HANDLERS:
             raise AlgebraError(f"{type(node).__name__} cannot be run")
-        return HANDLERS[type(node)](self, node, outer)
+        s = HANDLERS[type(node)](self, node, outer)
+        if isinstance(node, NEEDS_ALL) and s.df.isStreaming:
+            raise AlgebraError(f"{type(node).__name__} needs all rows, and a stream has no last one")
+        return s
 
     def finite(self, node: ir.Node, outer: tuple[Scope, ...] = ()) -> Scope:
         """A relation with an end: operators that need all rows take this."""
@@ -344,7 +349,7 @@ def _relation(lo: Lowering, n: ir.Relation, outer) -> Scope:
         return lo.bound[key].again()
     s = lo.session.resolve(key, lo)
     quals = frozenset({key.lower(), n.name[-1].lower()})
-    s = s.again()
+    s = s if s.endless is not None else s.again()
     return replace(s, cols=tuple(replace(x, quals=quals) for x in s.cols))
 
 

@@ -3,6 +3,7 @@ and the names and qualifiers a query knows them by."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from itertools import count
 
@@ -27,14 +28,26 @@ class Column:
     quals: frozenset[str] = frozenset()
 
 
+@dataclass(frozen=True)
+class Endless:
+    """Rows without end: the first ``count`` after an offset, and, where the
+    one column ascends, all up to a number."""
+
+    first: Callable
+    below: Callable | None = None
+
+    def __call__(self, count: int, offset: int = 0) -> Scope:
+        return self.first(count, offset)
+
+
 @dataclass(frozen=True)
 class Scope:
     df: DataFrame
     cols: tuple[Column, ...]
     #: Keys of a sort just below, for WITH TIES.
     order: tuple = field(default=(), compare=False)
-    #: Rows without end (a generator or ROLL without a limit), else None.
-    endless: object = field(default=None, compare=False)
+    #: Of a generator or a draw without a limit.
+    endless: Endless | None = field(default=None, compare=False)
 
     @staticmethod
     def of(df: DataFrame, *quals: str) -> Scope:
