@@ -123,7 +123,9 @@ def _cbool(a, t):
 
 @_fn("FORMAT", 1, 2)
 def _format(a, t):
-    n = a[1] if len(a) > 1 else F.lit(0)
+    n = int(getattr(a[1], "_tessera_literal", -1)) if len(a) > 1 else 0
+    if n < 0:
+        raise AlgebraError("FORMAT takes a literal number of places")
     return F.format_number(F.round(a[0].cast("decimal(38,10)"), n), n)
 
 
@@ -478,11 +480,11 @@ def jaro_winkler(a: str, b: str) -> float:
 def _jaro(a, t):
     import pandas as pd
 
-    @F.pandas_udf("double")
-    def score(x: pd.Series, y: pd.Series) -> pd.Series:
+    def score(x, y):
         return pd.Series([None if p is None or q is None else jaro_winkler(p, q) for p, q in zip(x, y)], dtype="float64")
 
-    return score(*a)
+    score.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": pd.Series}  # how Spark tells the kind
+    return F.pandas_udf(score, "double")(*a)
 
 
 # JSON

@@ -163,12 +163,12 @@ def annotated(lo: Lowering, n: ir.Node, k: Semiring, outer=()) -> Scope:
         bare = Scope(s.df, s.cols)
         cols = list(bare.cols)
         if n.columns:
-            cols = [replace(x, name=new) for x, new in zip(cols, n.columns)]
+            cols = [replace(x, name=new, origin=None) for x, new in zip(cols, n.columns)]
         for old, new in n.pairs or ():
             at = cols.index(Scope(s.df, tuple(cols)).column(old))
-            cols[at] = replace(cols[at], name=new)
+            cols[at] = replace(cols[at], name=new, origin=None)
         if n.name:
-            cols = [replace(x, quals=frozenset({n.name.lower()})) for x in cols]
+            cols = [replace(x, quals=frozenset({n.name.lower()}), origin=None) for x in cols]
         return Scope(s.df, tuple(cols))
     if isinstance(n, (ir.Project, ir.Distinct)):
         s = annotated(lo, n.input, k, outer)

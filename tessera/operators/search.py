@@ -310,7 +310,7 @@ def _optimize(lo: Lowering, n: ir.Optimize, outer) -> Scope:
     weight = Column(fresh(n.name), n.name) if n.name else None
     cols = (*s.cols, weight) if weight else s.cols
     schema = T.StructType([*[work.schema[x.id] for x in s.cols], *([T.StructField(weight.id, T.DoubleType())] if weight else [])])
-    bounds, maximize = n.bounds, n.maximize
+    bounds, maximize, ids, added = n.bounds, n.maximize, [x.id for x in s.cols], weight.id if weight else None
 
     def group(pdf):
         pdf = pdf.sort_values("__seq")
@@ -320,14 +320,13 @@ def _optimize(lo: Lowering, n: ir.Optimize, outer) -> Scope:
         a = some[names[1:]].to_numpy().T.reshape(len(kinds), -1)
         if bounds is None:
             x = choose(g, a, limits, kinds)
-            return (some[x == 1] if x is not None else some[:0])[[k.id for k in s.cols]]
+            return (some[x == 1] if x is not None else some[:0])[ids]
         got = simplex(-g, a, limits, kinds, np.full(len(g), bounds[0]), np.full(len(g), bounds[1]))
-        out = pdf[[k.id for k in s.cols]].copy()
-        out[weight.id] = None
-        out[weight.id] = out[weight.id].astype("float64")
+        out = pdf[ids].copy()
+        out[added] = np.nan
         if got is None:
             return out[:0]
-        out.loc[fit_, weight.id] = np.round(got[1], 10)
+        out.loc[fit_, added] = np.round(got[1], 10)
         return out
 
     return Scope(work.groupBy(*per).applyInPandas(group, schema), cols)

@@ -416,14 +416,14 @@ def _rename(lo: Lowering, n: ir.Rename, outer) -> Scope:
     if n.columns:
         if len(n.columns) != len(cols):
             raise AlgebraError(f"{len(n.columns)} names for {len(cols)} columns")
-        cols = [replace(x, name=new) for x, new in zip(cols, n.columns)]
+        cols = [replace(x, name=new, origin=None) for x, new in zip(cols, n.columns)]
     for old, new in n.pairs or ():
         at = cols.index(Scope(s.df, tuple(cols)).column(old))
-        cols[at] = replace(cols[at], name=new)
+        cols[at] = replace(cols[at], name=new, origin=None)
     if len({x.name.lower() for x in cols}) < len(cols):
         raise AlgebraError("a rename gives two columns one name")
     if n.name:
-        cols = [replace(x, quals=frozenset({n.name.lower()})) for x in cols]
+        cols = [replace(x, quals=frozenset({n.name.lower()}), origin=None) for x in cols]
     return replace(s, cols=tuple(cols)).again() if s.endless is None else replace(s, cols=tuple(cols))
 
 

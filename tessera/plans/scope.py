@@ -26,6 +26,9 @@ class Column:
     id: str
     name: str
     quals: frozenset[str] = frozenset()
+    #: What it was called before a join gave it another name; a qualified
+    #: reference still finds it so.
+    origin: str | None = None
 
 
 @dataclass(frozen=True)
@@ -60,7 +63,8 @@ class Scope:
         for n in range(len(parts) - 1, -1, -1):  # as long a qualifier as will do
             qual, name = ".".join(parts[:n]).lower(), parts[n]
             near = [c for c in self.cols if not qual or qual in c.quals]
-            hits = [c for c in near if c.name == name] or [c for c in near if c.name.lower() == name.lower()]
+            called = lambda c: c.origin or c.name if qual else c.name
+            hits = [c for c in near if called(c) == name] or [c for c in near if called(c).lower() == name.lower()] or [c for c in near if c.name.lower() == name.lower()]
             if len(hits) > 1:
                 raise AlgebraError(f"{'.'.join(parts)} is ambiguous")
             if hits:
@@ -117,5 +121,5 @@ def merged(left: Scope, right: Scope) -> tuple[Column, ...]:
             name = f"{x.name}_r" if n == 1 else f"{x.name}_r{n}"
             n += 1
         taken.add(name.lower())
-        out.append(replace(x, name=name))
+        out.append(replace(x, name=name, origin=None if name == x.name else x.origin or x.name))
     return tuple(out)

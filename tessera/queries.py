@@ -54,7 +54,7 @@ _q("rename", "π nk, nm (ρ n(nk, nm, rk) (nation))", "SELECT n_nationkey AS nk,
 _q("distinct", "δ (π o_custkey, o_orderpriority (orders))", "SELECT DISTINCT o_custkey, o_orderpriority FROM orders")
 _q("sort_limit", "λ 10 (τ o_totalprice DESC, o_orderkey ASC (orders))", "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 _q("limit_offset", "LIMIT 10 OFFSET 20 (SORT o_orderkey (orders))", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 20")
-_q("fetch_with_ties", "OFFSET 2 ROWS FETCH NEXT 3 ROWS WITH TIES (SORT n_regionkey (nation))", "SELECT n_nationkey, n_name, n_regionkey FROM (SELECT *, rank() OVER (ORDER BY n_regionkey) r, row_number() OVER (ORDER BY n_regionkey) i FROM nation) WHERE i > 2 AND r <= 5")
+_q("fetch_with_ties", "OFFSET 5 ROWS FETCH NEXT 3 ROWS WITH TIES (SORT n_regionkey (nation))", "SELECT n_nationkey, n_name, n_regionkey FROM (SELECT *, rank() OVER (ORDER BY n_regionkey) r, row_number() OVER (ORDER BY n_regionkey) i FROM nation) WHERE i > 5 AND r <= 8")
 _q("flagship", FLAGSHIP.replace("revenue (SELECT", "r (SELECT").replace("SORT revenue DESC", "SORT revenue DESC (PROJECT l_returnflag, ROUND(r, 2) -> revenue").replace("(lineitem))))", "(lineitem)))))"), "SELECT l_returnflag, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem WHERE l_quantity > 10 GROUP BY l_returnflag ORDER BY revenue DESC LIMIT 10")
 _q("truth_relations", "(nation × UNIT) ⊎ (nation × EMPTY)", "SELECT * FROM nation")
 
@@ -78,7 +78,7 @@ _q("asof_join", "π e.event_id, e.ts, v.event_id → seen, v.ts → at ((ρ e (
 _q("asof_inner_within", "π e.event_id, v.event_id → seen ((ρ e (σ event_type = 'purchase' (events))) ASOF INNER e.user_id = v.user_id ∧ e.ts > v.ts WITHIN DURATION 'PT6H' (ρ v (σ event_type = 'view' (events))))", "SELECT e.event_id, v.event_id AS seen FROM (SELECT * FROM events WHERE event_type = 'purchase') e ASOF JOIN (SELECT * FROM events WHERE event_type = 'view') v ON e.user_id = v.user_id AND e.ts > v.ts WHERE e.ts - v.ts <= INTERVAL 6 HOUR")
 _q("interval_join", "π o_orderkey, l_orderkey, l_linenumber ((π o_orderkey, o_orderdate → os, o_orderdate + DURATION 'P30D' → oe (σ o_custkey < 20 (orders))) IJOIN INTERSECTS (os, oe, ls, le) (π l_orderkey, l_linenumber, l_shipdate → ls, l_shipdate + DURATION 'P1D' → le (σ l_suppkey = 1 (lineitem))))", "SELECT o_orderkey, l_orderkey, l_linenumber FROM (SELECT o_orderkey, o_orderdate os, o_orderdate + INTERVAL 30 DAY oe FROM orders WHERE o_custkey < 20) JOIN (SELECT l_orderkey, l_linenumber, l_shipdate ls, l_shipdate + INTERVAL 1 DAY le FROM lineitem WHERE l_suppkey = 1) ON os < le AND ls < oe")
 _q("interval_join_during", "π a, b ((π event_id → a, ts → s, ts + DURATION 'PT1M' → e (events)) IJOIN DURING (s, e, ps, pe) (π event_id → b, ts → ps, ts + DURATION 'PT30M' → pe (events)))", "SELECT x.event_id AS a, y.event_id AS b FROM events x JOIN events y ON y.ts < x.ts AND x.ts + INTERVAL 1 MINUTE < y.ts + INTERVAL 30 MINUTE")
-_q("similarity_join", "π a.s_suppkey, b.s_suppkey → other ((ρ a (supplier)) ⨝ EditSimilarity(a.s_name, b.s_name) >= 0.95 ∧ a.s_suppkey < b.s_suppkey (ρ b (supplier)))", "SELECT a.s_suppkey, b.s_suppkey AS other FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND 1 - levenshtein(a.s_name, b.s_name) / greatest(length(a.s_name), length(b.s_name)) >= 0.95")
+_q("similarity_join", "π a.s_suppkey, b.s_suppkey → other ((ρ a (supplier)) ⨝ EditSimilarity(a.s_name, b.s_name) >= 0.9 ∧ a.s_suppkey < b.s_suppkey (ρ b (supplier)))", "SELECT a.s_suppkey, b.s_suppkey AS other FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND 1 - levenshtein(a.s_name, b.s_name) / greatest(length(a.s_name), length(b.s_name)) >= 0.9")
 _q("lateral", "π c.c_custkey, o_orderkey, o_totalprice ((ρ c (customer)) LATERAL (λ 2 (τ o_totalprice DESC, o_orderkey ASC (σ o_custkey = c.c_custkey (orders)))))", "SELECT c_custkey, o_orderkey, o_totalprice FROM (SELECT c_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY c_custkey ORDER BY o_totalprice DESC, o_orderkey) i FROM customer JOIN orders ON o_custkey = c_custkey) WHERE i <= 2")
 _q("lateral_outer", "π c.c_custkey, o_orderkey ((ρ c (customer)) OUTER LATERAL (σ o_custkey = c.c_custkey ∧ o_totalprice > 250000 (orders)))", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 250000")
 
@@ -105,7 +105,7 @@ _q("forall_keyless", "nation × (∀ : o_totalprice > 0 (orders))", "SELECT * FR
 _q("top_per", "TOP 3 o_totalprice DESC, o_orderkey ASC PER o_custkey (orders)", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) i FROM orders) WHERE i <= 3")
 _q("top_with_ties", "TOP 2 WITH TIES l_quantity DESC PER l_suppkey (lineitem)", "SELECT * EXCLUDE (r) FROM (SELECT *, rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC) r FROM lineitem) WHERE r <= 2")
 _q("top_global", "TOP 5, 10 o_totalprice DESC, o_orderkey ASC (orders)", "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")
-_q("downsample", "DOWNSAMPLE ts BY '6h' USING COUNT PER event_type (π ts, event_type, event_id (events))", None)
+_q("downsample", "DOWNSAMPLE ts BY '6h' USING COUNT PER event_type (π ts, event_type, event_id (events))", "SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts) AS bucket, count(*) AS count FROM events GROUP BY ALL")
 _q("downsample_max", "DOWNSAMPLE ts BY '1d' USING MAX PER user_id (π ts, user_id, value (events))", "SELECT user_id, date_trunc('day', ts) AS bucket, max(value) AS max_value FROM events GROUP BY ALL")
 _q("pivot", "PIVOT n BY o_orderstatus PER o_orderpriority (γ o_orderpriority, o_orderstatus, COUNT(*) → n (orders))", "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS F, count(*) FILTER (WHERE o_orderstatus = 'O') AS O, count(*) FILTER (WHERE o_orderstatus = 'P') AS P FROM orders GROUP BY o_orderpriority")
 _q("unpivot", "π l_orderkey, l_linenumber, what, amount (UNPIVOT (l_quantity, l_discount, l_tax) AS (what, amount) (π l_orderkey, l_linenumber, l_quantity, l_discount, l_tax (lineitem)))", "SELECT l_orderkey, l_linenumber, what, amount FROM (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax FROM lineitem) UNPIVOT INCLUDE NULLS (amount FOR what IN (l_quantity, l_discount, l_tax))")
@@ -131,9 +131,9 @@ _q("closure", f"CLOSURE a, b ({_EDGES})", f"WITH RECURSIVE e AS ({_EDGES_SQL}),
 _q("closure_reflexive", f"({_EDGES})* OVER (a, b)", f"WITH RECURSIVE e AS ({_EDGES_SQL}), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a, b FROM c UNION SELECT a, a FROM e UNION SELECT b, b FROM e")
 _q("closure_from", f"σ a = 3 (CLOSURE a, b ({_EDGES}))", f"WITH RECURSIVE e AS ({_EDGES_SQL}), c AS (SELECT a, b FROM e WHERE a = 3 UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a, b FROM c")
 _q("closure_undirected", f"CLOSURE a ↔ b (σ a < 12 ∧ b < 12 ({_EDGES}))", f"WITH RECURSIVE e0 AS (SELECT * FROM ({_EDGES_SQL}) WHERE a < 12 AND b < 12), e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a, b FROM c")
-_q("cluster", "CLUSTER a, b AS label (π o_custkey → a, nxt → b (σ nxt − o_custkey < 9 ∧ nxt > o_custkey (WINDOW LEAD(o_custkey) SORT o_orderkey AS nxt (orders))))".replace("nxt − o_custkey", "nxt - o_custkey"), None)
+_q("cluster", "CLUSTER a, b AS label (π o_custkey → a, nxt → b (σ nxt − o_custkey < 9 ∧ nxt > o_custkey (WINDOW LEAD(o_custkey) SORT o_orderkey AS nxt (orders))))".replace("nxt − o_custkey", "nxt - o_custkey"), "WITH RECURSIVE e0 AS (SELECT o_custkey a, nxt b FROM (SELECT *, lead(o_custkey) OVER (ORDER BY o_orderkey) nxt FROM orders) WHERE nxt - o_custkey < 9 AND nxt > o_custkey), e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a AS node, dense_rank() OVER (ORDER BY m) AS label FROM (SELECT a, least(a, min(b)) AS m FROM c GROUP BY a)")
 _q("path", f"PATH a, b HOPS 1 TO 3 AS depth ({_EDGES})", f"WITH e AS ({_EDGES_SQL}), d AS (SELECT a, b, 1 d FROM e UNION ALL SELECT x.a, y.b, 2 FROM e x JOIN e y ON x.b = y.a UNION ALL SELECT x.a, z.b, 3 FROM e x JOIN e y ON x.b = y.a JOIN e z ON y.b = z.a) SELECT a, b, min(d) AS depth FROM d GROUP BY a, b")
-_q("trace", f"π a, b, w (TRACE a, b VIA w MINIMIZE AS path (π a, b, 1 + a % 5 → w ({_EDGES})))", f"WITH RECURSIVE e AS (SELECT a, b, 1 + a % 5 AS w FROM ({_EDGES_SQL})), c AS (SELECT a, b, w FROM e UNION SELECT c.a, e.b, c.w + e.w FROM c JOIN e ON c.b = e.a WHERE c.w + e.w < 40) SELECT a, b, min(w) AS w FROM c WHERE a <> b GROUP BY a, b")
+_q("trace", f"π a, b, w (TRACE a, b VIA w MINIMIZE AS path (π a, b, 1 + a % 5 → w ({_EDGES})))", f"WITH RECURSIVE e AS (SELECT a, b, 1 + a % 5 AS w FROM ({_EDGES_SQL})), c AS (SELECT a, b, w FROM e UNION SELECT c.a, e.b, c.w + e.w FROM c JOIN e ON c.b = e.a WHERE c.w + e.w < 90) SELECT a, b, min(w) AS w FROM c WHERE a <> b GROUP BY a, b")
 _q("fix", f"FIX r (π a, b ({_EDGES}), π r.a, e.b (r ⨝ r.b = e.a (ρ e ({_EDGES}))))", f"WITH RECURSIVE e AS ({_EDGES_SQL}), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a, b FROM c")
 _q("iterate", "ITERATE x (π n_nationkey → k, n_regionkey → v (nation), π k, v * 2 + 1 → v (x)) ROUNDS 3", "SELECT n_nationkey AS k, n_regionkey * 8 + 7 AS v FROM nation")
 _q("iterate_stable", "ITERATE x (π n_nationkey → k, n_nationkey → v (nation), π k, IIf(v > 10, v - 7, v) → v (x)) UNTIL STABLE MAX 20 ROUNDS", "SELECT n_nationkey AS k, CASE WHEN n_nationkey > 10 THEN n_nationkey - 7 * CAST(ceil((n_nationkey - 10) / 7.0) AS INT) ELSE n_nationkey END AS v FROM nation")

@@ -17,18 +17,25 @@ from pyspark.sql import types as T
 from tessera.operators.components import checkpoint_dir
 
 
+def _timed(df: DataFrame, at: str, late: str) -> DataFrame:
+    """With a watermark; a time without a zone is UTC."""
+    if isinstance(df.schema[at].dataType, T.TimestampNTZType):
+        df = df.withColumn(at, F.col(at).cast("timestamp"))
+    return df.withWatermark(at, late)
+
+
 def tumbling(df: DataFrame, at: str, width: str, aggs: list[Column], per: tuple[str, ...] = (), late: str = "1 day", slide: str | None = None) -> DataFrame:
     """``per…, bucket, aggs…`` for each window of ``width`` (sliding with
     ``slide``)."""
     w = F.window(at, width, slide) if slide else F.window(at, width)
-    got = df.withWatermark(at, late).groupBy(*per, w).agg(*aggs)
+    got = _timed(df, at, late).groupBy(*per, w).agg(*aggs)
     return got.select(*per, F.col("window.start").alias("bucket"), *[c for c in got.columns if c not in (*per, "window")])
 
 
 def sessions(df: DataFrame, at: str, gap: str, aggs: list[Column], per: tuple[str, ...] = (), late: str = "1 day") -> DataFrame:
     """``per…, started, ended, aggs…`` of each run of rows without a silence
     longer than ``gap``."""
-    got = df.withWatermark(at, late).groupBy(*per, F.session_window(at, gap)).agg(F.max(at).alias("ended"), *aggs)
+    got = _timed(df, at, late).groupBy(*per, F.session_window(at, gap)).agg(F.max(at).alias("ended"), *aggs)
     return got.select(*per, F.col("session_window.start").alias("started"), *[c for c in got.columns if c not in (*per, "session_window")])
 
 
