@@ -184,7 +184,7 @@ def _links(at: np.ndarray, fp: np.ndarray, rep: np.ndarray, base: np.ndarray, ma
         if not len(rows):
             break
         x, y = rows, rows + d
-        good = (base[x] | base[y]) & (rep[x] != rep[y]) & (np.bitwise_count(fp[x] ^ fp[y]) <= max_bits)
+        good = (base[x] | base[y]) & (rep[x] != rep[y]) & (np.bitwise_count((fp[x] ^ fp[y]).view(np.uint64)) <= max_bits)
         if good.any():
             found.append((rep[x[good]], rep[y[good]]))
             if sum(len(a) for a, _ in found) > 500_000:
