@@ -77,7 +77,7 @@ def _chunks(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
     n = batch.num_rows
     if not n:
         return
-    sizes = pc.binary_length(batch.column(batch.num_columns - 1)).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_pylist()
     at = total = 0
     for i, size in enumerate(sizes):
         if i > at and total + size > most:

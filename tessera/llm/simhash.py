@@ -128,7 +128,7 @@ def allocate(groups: list[list[int]], pairs: list[float], n: int, max_bits: int)
 def plan(prints: DataFrame, max_bits: int) -> list[tuple[list[int], int]]:
     """Partitions and thresholds for these fingerprints, from statistics
     over all of them; the number of partitions is part of the choice."""
-    n = prints.count()
+    n = max(1, prints.count())  # without rows, too, fewer probe keys are better
     both = _together(prints)
     options = [correlated(prints, m, both, n) for m in range(2, max_bits + 2)] if max_bits else [[list(range(64))]]
     keys = [_key(F.col("fp"), g) for groups in options for g in groups]
