@@ -2,7 +2,8 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run``
 writes it as Parquet in the session's shared checkpoint folder and reads it
-again for the next.  All but the last return the columns of ``docs``.
+again for the next.  All but the last return the columns of ``docs``, whose
+own names never meet those that an operator makes.
 """
 
 from __future__ import annotations
@@ -18,45 +19,64 @@ from tessera.llm.queries import tokenizer
 from tessera.operators.components import checkpoint_dir
 
 
+def _sealed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows under names that no operator uses, and each column's."""
+    names = {c: f"__d{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def _opened(df: DataFrame, names: dict[str, str], **changed) -> DataFrame:
+    return df.select(*[changed.get(c, F.col(inner)).alias(c) for c, inner in names.items()])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a language: rejected are texts that are null or
-    without a letter (``und``).  ``lang`` becomes the language found."""
-    names = docs.columns
-    profile = langid.fit(docs)
-    told = langid.identify(docs.withColumn("__text", F.col("text")), profile, text="__text", keep=tuple(names))
-    return told.where("lang_pred <> 'und'").withColumn("lang", F.col("lang_pred")).select(*names)
+    without a letter (``und``).  ``lang`` becomes the language found.
+
+    Learns from the rows with a text and a language; where there are none,
+    nothing is known and no document has a language.
+    """
+    inner, names = _sealed(docs)
+    told = langid.identify(inner, langid.fit(docs), text=names["text"], keep=tuple(names.values()))
+    return _opened(told.where("lang_pred <> 'und'"), names, lang=F.col("lang_pred"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near-duplicates, once."""
+    """Keeps the smallest id of each group of near-duplicates, once.
+
+    Rows repeated under one id are one document: the least by content stays.
+    Rows without an id can be told from no other; they stay as they are.
+    """
     found = simhash.near_duplicates(docs)
     keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    # Rows repeated under one id are one document: the least by content stays.
     rest = [c for c in docs.columns if c != "doc_id"]
-    one = docs.join(keep, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("r"))
-    return one.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"r.{c}").alias(c) for c in docs.columns])
+    one = docs.join(keep, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(rest)])).alias("__r"))
+    out = one.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"__r.f{rest.index(c)}").alias(c) for c in docs.columns])
+    return out.union(docs.where("doc_id is null"))
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the benchmark contaminates."""
-    names = tuple(docs.columns)
-    scanned = decontaminate.scan(docs.withColumn("__text", F.col("text")), table(spark, sf_dir, "benchmark"), text="__text", keep=names)
-    return scanned.where(~((F.size("hit") > 0) & (F.size("hit") * 20 >= F.col("n_words")))).select(*names)
+    """Drops documents that the benchmark contaminates: at least one word in
+    twenty is in an item's window.  Documents without words stay."""
+    inner, names = _sealed(docs)
+    scanned = decontaminate.scan(inner, table(spark, sf_dir, "benchmark"), text=names["text"], keep=tuple(names.values()))
+    return _opened(scanned.where(~((F.size("hit") > 0) & (F.size("hit") * 20 >= F.col("n_words")))), names)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts the kind in brackets in place of personal data; keeps all rows."""
-    names = docs.columns
-    found = pii.detect(docs, pii.trained(), keep=tuple(c for c in names if c != "text"), redacted=True)
-    return found.withColumnRenamed("redacted", "text").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*names)
+    """Puts the kind in brackets in place of personal data; keeps all rows
+    (a null text becomes empty) and sets ``n_chars`` anew."""
+    inner, names = _sealed(docs)
+    found = pii.detect(inner, pii.trained(), text=names["text"], keep=tuple(v for c, v in names.items() if c != "text"), redacted=True)
+    return _opened(found, names, text=F.col("redacted"), n_chars=F.length("redacted").cast(docs.schema["n_chars"].dataType))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every text, and whether they decode to it again."""
-    keep = ("doc_id", "lang", "source", "n_chars", "text")
-    coded = bpe.encode(docs.withColumn("__text", F.col("text")), *tokenizer(), text="__text", keep=keep)
-    same = F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary"), F.lit(False))
-    return coded.select("doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("bigint").alias("n_tokens"), same.alias("round_trip"))
+    inner, names = _sealed(docs)
+    coded = bpe.encode(inner, *tokenizer(), text=names["text"], keep=tuple(names[c] for c in ("doc_id", "lang", "source", "n_chars", "text")))
+    same = F.coalesce(F.col("decoded") == F.coalesce(F.col(names["text"]), F.lit("")).cast("binary"), F.lit(False))
+    return coded.select(*[F.col(names[c]).alias(c) for c in ("doc_id", "lang", "source", "n_chars")], "ids", F.size("ids").cast("bigint").alias("n_tokens"), same.alias("round_trip"))
 
 
 STAGES = [
