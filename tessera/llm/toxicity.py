@@ -1,7 +1,7 @@
 """Toxicity by a convolutional text classifier.
 
 A word's embedding is the sum of hashed embeddings of the word and of its
-beginnings; filters of several widths run over the words, the maximum of
+beginnings, and zero for words that hardly occur in training; filters of several widths run over the words, the maximum of
 each over the whole text is kept, and a logistic layer reads the maxima.
 Trained in numpy on a bounded sample of labelled rows.  Thresholds are
 calibrated by language, which is itself told from the text alone.
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,9 +24,13 @@ from tessera.llm.langid import _grams
 
 _WORD = re.compile(r"[^\W_]+")
 #: Rows of the embedding table, its width, filters of each width, widths.
-ROWS, WIDTH, FILTERS, SPANS = 1 << 15, 8, 8, (1, 2, 3)
+ROWS, WIDTH, FILTERS, SPANS = 1 << 17, 8, 8, (1, 2, 3)
+#: Training texts that a word occurs in, at least, to have an embedding.
+LEAST = 3
 #: Labelled rows that training takes at most, of each label.
 SAMPLE = 2000
+#: Positives of all languages that weigh in each language's threshold.
+PRIOR = 20
 #: The score at which a text counts as toxic.
 CUT = 0.3
 
@@ -37,7 +42,8 @@ def _features(word: str) -> tuple[int, int, int, int]:
 
 @dataclass
 class Model:
-    table: np.ndarray
+    table: np.ndarray  # ROWS and one of zeros
+    known: np.ndarray  # rows of words with an embedding
     filters: list[np.ndarray]  # for each width: width x WIDTH x FILTERS
     bias: np.ndarray
     out: np.ndarray
@@ -48,7 +54,7 @@ class Model:
     @staticmethod
     def new(seed: int) -> Model:
         rng = np.random.default_rng(seed)
-        return Model(rng.normal(0, 0.1, (ROWS, WIDTH)).astype(np.float32), [rng.normal(0, 0.3, (s, WIDTH, FILTERS)).astype(np.float32) for s in SPANS], np.zeros(FILTERS * len(SPANS), np.float32), rng.normal(0, 0.3, FILTERS * len(SPANS)).astype(np.float32), -1.0)
+        return Model(np.vstack([rng.normal(0, 0.1, (ROWS, WIDTH)), np.zeros((1, WIDTH))]).astype(np.float32), np.zeros(ROWS, bool), [rng.normal(0, 0.3, (s, WIDTH, FILTERS)).astype(np.float32) for s in SPANS], np.zeros(FILTERS * len(SPANS), np.float32), rng.normal(0, 0.3, FILTERS * len(SPANS)).astype(np.float32), -1.0)
 
     def pooled(self, words: np.ndarray, starts: np.ndarray, feats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Maxima of all filters for documents that begin at ``starts`` in
@@ -84,7 +90,7 @@ class Model:
             while stop < len(texts) and (stop == at or size + len(texts[stop]) < 1_000_000):
                 size += len(texts[stop])
                 stop += 1
-            words, starts, feats = _lay(texts[at:stop])
+            words, starts, feats = _lay(texts[at:stop], self.known)
             out[at:stop] = self.raw(self.pooled(words, starts, feats)[0])
             at = stop
         if len(self.cuts):
@@ -93,7 +99,7 @@ class Model:
         return np.clip(out, 0, 1)
 
 
-def _lay(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _lay(texts: list[str], known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word numbers of all texts (each followed by gaps as wide as the
     widest filter needs), where each begins, features of each word."""
     from collections import defaultdict
@@ -109,6 +115,7 @@ def _lay(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         starts.append(at)
         at += len(ids) + len(gap)
     feats = np.array([_features(w) for w in number], np.int64).reshape(-1, 4)
+    feats[~known[feats[:, 0]]] = ROWS
     return np.concatenate(parts), np.array(starts), feats
 
 
@@ -125,11 +132,13 @@ def train(texts: list[str], labels: list[int], langs: list[str | None], rounds:
     order = rng.permutation(len(texts))
     fifth = len(texts) // 5
     held, used = order[:fifth], order[fifth:]
+    often = Counter(w for i in used for w in set(_WORD.findall(texts[i].lower())))
+    model.known[[_features(w)[0] for w, n in often.items() if n >= LEAST]] = True
     weight = np.where(y == 1, min(4.0, (y == 0).sum() / (y == 1).sum()), 1.0)
     params = [model.table, *model.filters, model.bias, model.out]
     sq = [np.full(p.shape, 1e-4, np.float32) for p in params]
     bias_sq, rate = 1e-4, 0.05
-    laid = [(b, *_lay([texts[i] for i in b])) for b in np.array_split(used, max(1, len(used) // 40))]
+    laid = [(b, *_lay([texts[i] for i in b], model.known)) for b in np.array_split(used, max(1, len(used) // 40))]
     for r in range(rounds):
         for k in rng.permutation(len(laid)):
             b, words, starts, feats = laid[k]
@@ -164,6 +173,7 @@ def train(texts: list[str], labels: list[int], langs: list[str | None], rounds:
             if touched:
                 rows = np.concatenate([x.ravel() for x, _ in touched])
                 vals = np.concatenate([np.repeat(v, 4, axis=0) for _, v in touched])
+                rows, vals = rows[rows < ROWS], vals[rows < ROWS]
                 u, inv = np.unique(rows, return_inverse=True)
                 g = np.zeros((len(u), WIDTH), np.float32)
                 np.add.at(g, inv, vals)
@@ -178,7 +188,11 @@ def train(texts: list[str], labels: list[int], langs: list[str | None], rounds:
     raw = model.score([texts[i] for i in held])
     told = model.language([texts[i] for i in held])
     overall = _best_cut(raw, y[held])
-    model.cuts = np.array([_best_cut(raw[told == k], y[held][told == k], overall) for k in range(max(1, len(names)))])
+    model.cuts = np.full(max(1, len(names)), overall)
+    for k in range(len(names)):  # a language with few positives keeps near the cut of all
+        own = y[held][told == k]
+        share = own.sum() / (own.sum() + PRIOR)
+        model.cuts[k] = share * _best_cut(raw[told == k], own, overall) + (1 - share) * overall
     return model
 
 
