@@ -33,6 +33,11 @@ _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr
 _ENDS_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 
 
+#: Least score of a run of words that is no content, so that an advert within
+#: an article does not cut off what follows it.
+FOREIGN = -4.0
+
+
 class Page:
     """The tokens of a page: runs of words (with their elements) and tags."""
 
@@ -141,7 +146,7 @@ class Weights:
         return got
 
     def tag(self, features: tuple[str, ...]) -> float:
-        return min(-0.1, float(self.word(features)) - 1)
+        return float(np.clip(self.word(features) - 1, -1, -0.1))
 
 
 def main_text(html: str, weights: Weights) -> str:
@@ -154,7 +159,7 @@ def main_text(html: str, weights: Weights) -> str:
             scores.append(weights.tag(fs))
         else:
             n = len(x.split())
-            scores.append(weights.word(fs) * n if n else 0.0)
+            scores.append(max(weights.word(fs) * n, FOREIGN) if n else 0.0)
     best, region, total, start = 0.0, None, 0.0, 0
     for i, s in enumerate(scores):
         if total <= 0:
