@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import aggregates, durations, scalar
-from tessera.plans import ir
+from tessera.plans import ir, rules
 from tessera.plans.lexer import AlgebraError
 from tessera.plans.scope import Column, Scope, c, fresh
 
@@ -42,17 +42,40 @@ class Lowering:
     def __init__(self, session, params: dict | None = None):
         self.session, self.spark, self.params = session, session.spark, params or {}
         self.bound: dict[str, Scope] = {}
+        #: What queries next to a relation ask of it: a limit, columns, values.
+        self.asked: dict[str, dict] = {}
         self.views: list[str] = []
 
     # Relations -------------------------------------------------------------
     def rel(self, node: ir.Node, outer: tuple[Scope, ...] = ()) -> Scope:
         if type(node) not in HANDLERS:
             raise AlgebraError(f"{type(node).__name__} cannot be run")
+        if isinstance(node, (ir.Limit, ir.Project, ir.Select)):
+            self._ask(node)
         s = HANDLERS[type(node)](self, node, outer)
         if isinstance(node, NEEDS_ALL) and s.df.isStreaming:
             raise AlgebraError(f"{type(node).__name__} needs all rows, and a stream has no last one")
         return s
 
+    def _ask(self, n: ir.Node) -> None:
+        """Notes what may go into a request: a limit next to the relation, the
+        columns of a projection, equalities with values."""
+        want: dict = {}
+        if isinstance(n, ir.Limit) and n.count is not None and not n.offset and not n.ties:
+            want["limit"], n = n.count, n.input
+        if isinstance(n, ir.Project):
+            want["columns"] = {p.lower() for x in ir.walk(n.items) if isinstance(x, ir.Ref) for p in x.parts}
+            n = n.input
+        if isinstance(n, ir.Select):
+            want.pop("limit", None)
+            if "columns" in want:
+                want["columns"] |= {p.lower() for x in ir.walk(n.pred) if isinstance(x, ir.Ref) for p in x.parts}
+            tests = [q for q in rules.conjuncts(n.pred) if isinstance(q, ir.Cmp) and q.op == "=" and isinstance(q.left, ir.Ref)]
+            want["inputs"] = {q.left.parts[-1].lower(): q.right.value if isinstance(q.right, ir.Lit) else self.params.get(q.right.name) for q in tests if isinstance(q.right, (ir.Lit, ir.Param))}
+            n = n.input
+        if isinstance(n, ir.Relation):
+            self.asked.setdefault(".".join(n.name), want)
+
     def finite(self, node: ir.Node, outer: tuple[Scope, ...] = ()) -> Scope:
         """A relation with an end: operators that need all rows take this."""
         s = self.rel(node, outer)

@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import fields, is_dataclass
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tessera.operators.provenance import SEMIRINGS, annotated
@@ -21,6 +21,12 @@ from tessera.plans.scope import Column
 _HOLES = ("__it__", "__other__")
 
 
+class Rows(list):
+    """A result; ``truncated`` if the session's limit cut it."""
+
+    truncated = False
+
+
 class Rel:
     def __init__(self, session, node: ir.Node, params: dict | None = None):
         self.session, self.ir, self.params = session, node, params or {}
@@ -275,8 +281,6 @@ class Rel:
 
         df, limits, sc = self.df, self.session.limits, self.session.spark.sparkContext
         planned, began = list(self.session.last), time.monotonic()
-        if limits.output_rows is not None:
-            df = df.limit(limits.output_rows + 1)
         timer, tag = None, f"tessera-{uuid.uuid4().hex}"
         if limits.seconds is not None:
             sc.addJobTag(tag)
@@ -292,14 +296,17 @@ class Rel:
             if timer is not None:
                 timer.cancel()
                 sc.removeJobTag(tag)
-        if limits.output_rows is not None and n > limits.output_rows:
-            raise AlgebraError(f"more than {limits.output_rows} rows")
         self.session.feed = [*planned, (len(planned) + 1, "EXECUTE", "ROWS", "rows of the result", None, n, datetime.timedelta(seconds=time.monotonic() - began))]
         return got
 
-    def to_list(self) -> list[Row]:
+    def to_list(self) -> Rows:
+        most = self.session.limits.output_rows
+
         def action(df):
-            rows = df.collect()
+            rows = Rows((df if most is None else df.limit(most + 1)).collect())
+            if most is not None and len(rows) > most:
+                rows.pop()
+                rows.truncated = True
             return rows, len(rows)
 
         return self._run(action)
@@ -313,9 +320,10 @@ class Rel:
 
         return self._run(action)
 
-    def stream(self) -> Iterator[Row]:
+    def stream(self) -> Iterator:
         """Rows one partition at a time."""
-        return self.df.toLocalIterator()
+        most = self.session.limits.output_rows
+        return (self.df if most is None else self.df.limit(most)).toLocalIterator()
 
     def provenance(self, semiring="lineage") -> DataFrame:
         """The rows with a semiring's value beside each, in ``provenance``."""

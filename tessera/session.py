@@ -31,8 +31,10 @@ class Limits:
     output_rows: int | None = None
     rounds: int | None = None
     seconds: float | None = None
-    #: Refuses sources, connections, imports and env.
+    #: Refuses sources, connections, imports and env, but for those (and no
+    #: others) that ``declarations``, a script, makes.
     sealed: bool = False
+    declarations: str = ""
 
 
 @dataclass
@@ -47,6 +49,8 @@ class Named:
     endless: bool = False
     private: str | None = None
     text: str = ""
+    #: Of a source that takes what a query asks into its request.
+    asks: Callable[[dict], DataFrame] | None = None
     made: Scope | None = field(default=None, repr=False)
 
 
@@ -69,8 +73,11 @@ class Session:
         self.params: dict = {}
         self.feed: list[tuple] = []
         self._opening: list[str] = []
+        self.offered = parse_script(self.limits.declarations)
         for name, (param, body) in catalog.FUNCTIONS.items():
             self.tables[f"{catalog.NAMESPACE}.{name}"] = (((param, "STRING"),), parse(body))
+        for st in self.offered:
+            self._run(st, base)
 
     # Binding -----------------------------------------------------------------
     def table(self, name: str, df: DataFrame) -> Session:
@@ -148,8 +155,11 @@ class Session:
             if head in self.connections:
                 return Scope.of(self._connected(self.connections[head], rest, None))
             raise AlgebraError(f"no relation {name}; there are {', '.join(sorted(x.name for x in self.relations.values())) or 'none'}")
+        want = lo.asked.pop(name, {})
         if r.made is not None:
             return r.made
+        if r.asks is not None:
+            return Scope.of(r.asks(want))
         if r.kind != "QR":
             got = r.make()
             s = got if isinstance(got, Scope) else Scope.of(got)
@@ -213,8 +223,8 @@ class Session:
             raise AlgebraError(f"a script of more than {self.limits.input_chars} characters")
         out: list = []
         for st in parse_script(text):
-            if self.limits.sealed and st.kind in ("source", "connection", "import", "env"):
-                raise AlgebraError(f"a sealed session takes no {st.kind}")
+            if self.limits.sealed and st.kind in ("source", "connection", "import", "env") and st.options.get("from") != "generator" and st not in self.offered:
+                raise AlgebraError(f"a sealed session takes no {st.kind} {st.name}".rstrip())
             if st.kind == "query":
                 label = st.name or f"query[{len(out)}]"
                 if st.name and not self.known(st.name):
@@ -365,7 +375,10 @@ class Session:
             make = lambda: files.read_json(self.spark, local(), o.get("records"))
         elif kind == "http":
             http.checked(o)
-            make = lambda: http.read(self.spark, self._filled(o))
+            own = {n.lower(): n for n, c in (o.get("schema") or {}).items() if c["way"] == "in"}
+            asks = lambda want: http.read(self.spark, self._filled(o), {own[k]: v for k, v in want.get("inputs", {}).items() if k in own and v is not None}, limit=want.get("limit"), columns=want.get("columns"))
+            self._put(Named(st.name, "SRC", asks=asks, private=base if st.private else None))
+            return
         elif kind == "database":
             for k in ("url", "table", "schema"):
                 if k not in o:

@@ -147,11 +147,33 @@ class HttpSource(DataSource):
         return HttpReader(dict(self.options))
 
 
-def read(spark: SparkSession, options: dict, inputs: dict | None = None, pages: list[dict] | None = None) -> DataFrame:
+def document(records: str, columns: dict[str, str]) -> str:
+    """A GraphQL query for the columns (name: path) of the records."""
+    tree: dict = {}
+    root = [x for x in re.findall(r"[A-Za-z_]\w*", re.sub(r"\[\*\]$", "", records))]
+    for path in columns.values():
+        at = tree
+        for name in (root[1:] if root[:1] == ["data"] else root) + re.findall(r"[A-Za-z_]\w*", path):
+            at = at.setdefault(name, {})
+
+    def show(t: dict) -> str:
+        return "{ " + " ".join(k + (f" {show(v)}" if v else "") for k, v in t.items()) + " }"
+
+    return json.dumps({"query": show(tree)})
+
+
+def read(spark: SparkSession, options: dict, inputs: dict | None = None, pages: list[dict] | None = None, limit: int | None = None, columns: set[str] | None = None) -> DataFrame:
     """``inputs`` are values of input columns; ``pages`` lists what each
-    request adds to its parameters (one request if it is not given)."""
+    request adds to its parameters (one request if it is not given);
+    ``limit`` and ``columns`` are all that the query can use."""
     request = checked(options)
     schema = options.get("schema") or {}
+    if limit is not None and "limit" in request["pages"]:
+        request["params"][request["pages"]["limit"][0]] = str(limit)
+    if request["method"] == "POST" and request["body"] is None and request["where"] and schema:
+        wanted = {n: (c.get("at") or n).removeprefix("$") for n, c in schema.items() if c["way"] == "out" and (columns is None or n.lower() in columns)}
+        request["body"] = document(request["where"], wanted or {n: n for n, c in schema.items() if c["way"] == "out"})
+        request["headers"].setdefault("Content-Type", "application/json")
     for name, col in schema.items():
         if col["way"] != "in":
             continue

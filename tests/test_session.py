@@ -70,6 +70,13 @@ def server():
             self.end_headers()
             self.wfile.write(body)
 
+        def do_POST(self):
+            query = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["query"]
+            body = json.dumps({"data": {"users": [{"id": 1, "name": query}]}}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
         def log_message(self, *a):
             pass
 
@@ -85,6 +92,15 @@ def test_http(spark, server):
     assert rows(s.relation("U")) == [(1.0, "x", "/users?limit=5", "Bearer secret"), (2.0, None, None, None)]
     s.script(f'source V from http {{ url: "{server}/v", extract: json("$.data") }};')
     assert rows(s.relation("π id, a.b → b (V)")) == [(1, "x"), (2, None)]
+    # what a query asks goes into the request
+    assert "limit=2" in s.relation("λ 2 (U)").to_list()[0].q
+    s.script(f'source P from http {{ url: "{server}/p/{{id}}", extract: json("$.data"), schema: {{ id: in STRING as path("id") [required], q: STRING }} }};')
+    assert {r.q for r in s.relation("π q (σ id = 'ab' (P))").to_list()} == {"/p/ab", None}
+    with pytest.raises(AlgebraError):
+        s.relation("P").df
+    s.script(f'source G from http {{ url: "{server}/g", method: POST, extract: json("$.data.users"), schema: {{ id: NUMBER, name: STRING, bio: STRING at "$.more.bio" }} }};')
+    assert rows(s.relation("π id, name (G)")) == [(1.0, "{ users { id name } }")]
+    assert rows(s.relation("π name (G)")) == [("{ users { name } }",)]
     with pytest.raises(AlgebraError):
         s.script(f'source W from http {{ url: "{server}", method: PUT }};')
 
@@ -121,11 +137,15 @@ def test_limits(spark):
     s.source("T", [(i,) for i in range(5)], "a int")
     with pytest.raises(AlgebraError):
         s.relation("σ a > 1 ∧ a > 2 ∧ a > 3 ∧ a > 4 (T)")
-    with pytest.raises(AlgebraError):
-        s.relation("T").to_list()
+    got = s.relation("T").to_list()
+    assert len(got) == 2 and got.truncated and not s.relation("λ 2 (T)").to_list().truncated
     with pytest.raises(AlgebraError):
         s.script('env from "x";')
-    assert len(s.relation("λ 2 (T)").to_list()) == 2
+    offered = 'source N from generator { name: "Range", lo: "1", hi: "3" }; T := { λ 1 (N) };'
+    s = Session(spark, limits=Limits(sealed=True, declarations=offered))
+    assert s.relation("T").count() == 1
+    with pytest.raises(AlgebraError):
+        s.script('source X from csv("/etc/passwd") { schema: { line: STRING } };')
 
 
 def test_parameters_are_values(session):
