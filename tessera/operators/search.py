@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.components import cut
 from tessera.plans import ir
 from tessera.plans.lexer import AlgebraError
 from tessera.plans.lower import Lowering, handles
@@ -378,17 +379,40 @@ def cover(rows: np.ndarray, strength: int, exact: bool) -> list[int]:
     return best
 
 
+#: Cells of distinct rows up to which one task covers; beyond, every pick is
+#: a round over all rows.
+ONE_TASK = 2_000_000
+
+
+def _wide_cover(work, ids: list[str], strength: int):
+    """The greedy choice in rounds: each counts the open combinations of
+    every row and takes the row with most, the earliest of equals."""
+    sets = [F.struct(F.lit(i).alias("i"), F.xxhash64(*at).alias("h"), F.to_json(F.struct(*at)).alias("v")) for i, at in enumerate(combinations(ids, min(strength, len(ids))))]
+    open_ = cut(work.select("__seq", F.explode(F.array(*sets)).alias("t")))
+    chosen: list[int] = []  # a number for each row of the cover
+    while True:
+        best = open_.groupBy("__seq").count().orderBy(F.desc("count"), "__seq").first()
+        if best is None:
+            return work.where(F.col("__seq").isin(chosen)) if chosen else work.limit(0)
+        chosen.append(best["__seq"])
+        open_ = cut(open_.join(open_.where(F.col("__seq") == best["__seq"]).select("t"), "t", "left_anti"))
+
+
 @handles(ir.Cover)
 def _cover(lo: Lowering, n: ir.Cover, outer) -> Scope:
     """A small set of rows in which every combination that occurs occurs.
-    The rows are made distinct first; the greedy choice is one sequence and
-    runs in one task."""
+    The rows are made distinct first.  A small choice runs in one task; a
+    large one in rounds, one for each row taken (EXACT is small always)."""
     s = lo.finite(n.input, outer)
     if n.strength > len(s.cols):
         raise AlgebraError("COVER is stronger than there are columns")
     ids = [x.id for x in s.cols]
     work = s.df.withColumn("__seq", F.monotonically_increasing_id()).groupBy(*ids).agg(F.min("__seq").alias("__seq"))
     strength, exact = n.strength, n.exact
+    if not exact:
+        work = cut(work)  # the numbers of rows must not change between rounds
+        if work.count() * len(ids) > ONE_TASK:
+            return s.with_df(_wide_cover(work, ids, strength).select(*ids))
 
     def group(pdf):
         pdf = pdf.sort_values("__seq").reset_index(drop=True)

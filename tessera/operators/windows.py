@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import aggregates
+from tessera.operators.components import cut
 from tessera.plans import ir
 from tessera.plans.lexer import AlgebraError
 from tessera.plans.lower import Lowering, handles
-from tessera.plans.scope import Scope
+from tessera.plans.scope import Column, Scope, fresh
 
 _RANKS = {"ROW_NUMBER": F.row_number, "RANK": F.rank, "DENSE_RANK": F.dense_rank, "PERCENT_RANK": F.percent_rank, "CUME_DIST": F.cume_dist}
 
@@ -125,11 +126,91 @@ def over(lo: Lowering, s: Scope, value, per, keys, frame, outer):
     return value.over(w.rangeBetween(bound(f.lo), bound(f.hi)))
 
 
+#: Bytes, by Catalyst's estimate, beyond which a window without PER is dealt
+#: out in ranges of its order instead of going to one task.
+ONE_TASK = 256 << 20
+
+
+def _is_wide(s: Scope) -> bool:
+    stats = s.df._jdf.queryExecution().optimizedPlan().stats()
+    return int(str(stats.sizeInBytes())) > ONE_TASK
+
+
+def _new(s: Scope, name: str) -> Column:
+    if any(x.name.lower() == name.lower() for x in s.cols):
+        raise AlgebraError(f"there is a column {name} already")
+    return Column(fresh(name), name)
+
+
+class Ranges:
+    """A relation in ranges of an order.  Equal keys share a range, so what
+    stands before a range is known from one row for each (broadcast)."""
+
+    def __init__(self, s: Scope, order: list, **sums):
+        self.df = cut(s.df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+        self.local = Window.partitionBy("__p").orderBy(*order)
+        self.sums = {"__rows": F.count(F.lit(1)), **sums}
+
+    def joined(self, **before):
+        """With the totals of all rows and, for each of ``before``, an
+        aggregate of a sum's column over the ranges before the row's own."""
+        parts = self.df.groupBy("__p").agg(*[v.alias(k) for k, v in self.sums.items()])
+        ahead = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+        everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        parts = parts.select("__p", F.sum("__rows").over(everything).alias("__total"), F.coalesce(F.sum("__rows").over(ahead), F.lit(0)).alias("__ahead"), *[v.over(ahead).alias(k) for k, v in before.items()])
+        return self.df.join(F.broadcast(parts), "__p")
+
+
+def _wide_rank(lo: Lowering, s: Scope, n: ir.Window, outer) -> Scope:
+    """Ranks over all rows, without one task that reads them all."""
+    order = lo.sort_columns(n.keys, s, outer)
+    r = Ranges(s, order, __kinds=F.count_distinct(F.struct(*[lo.value(k.expr, s, outer) for k in n.keys])))
+    df = r.joined(__before=F.sum("__kinds"))
+    row, rank = F.col("__ahead") + F.row_number().over(r.local), F.col("__ahead") + F.rank().over(r.local)
+    total = F.col("__total")
+    if n.func == "ROW_NUMBER":
+        value = row
+    elif n.func == "RANK":
+        value = rank
+    elif n.func == "DENSE_RANK":
+        value = F.coalesce("__before", F.lit(0)) + F.dense_rank().over(r.local)
+    elif n.func == "PERCENT_RANK":
+        value = F.when(total == 1, 0.0).otherwise((rank - 1) / (total - 1))
+    elif n.func == "CUME_DIST":
+        value = (F.col("__ahead") + F.count(F.lit(1)).over(r.local.rangeBetween(Window.unboundedPreceding, Window.currentRow))) / total
+    else:
+        k = int(n.args[0].value)
+        small, large = F.floor(total / k), total % k
+        edge = (small + 1) * large
+        value = F.when(row <= edge, F.ceil(row / (small + 1))).otherwise(large + F.ceil((row - edge) / small))
+    new = _new(s, n.name)
+    kind = "double" if n.func in ("PERCENT_RANK", "CUME_DIST") else "bigint"
+    return Scope(df.select(*[x.id for x in s.cols], value.cast(kind).alias(new.id)), (*s.cols, new))
+
+
+def _wide_running(lo: Lowering, s: Scope, n: ir.Rolling, outer) -> Scope:
+    """A running aggregate over all rows: within ranges, and of the ranges
+    before."""
+    x = lo.value(n.arg, s, outer)
+    part, up = {"SUM": (F.sum, F.sum), "COUNT": (F.count, F.sum), "MIN": (F.min, F.min), "MAX": (F.max, F.max)}[n.func]
+    r = Ranges(s, lo.sort_columns(n.keys, s, outer), __part=part(x))
+    df = r.joined(__before=up("__part"))
+    own, before = part(x).over(r.local.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.col("__before")
+    if n.func in ("SUM", "COUNT"):
+        value = F.when(own.isNull(), before).when(before.isNull(), own).otherwise(own + before)
+    else:
+        value = F.least(own, before) if n.func == "MIN" else F.greatest(own, before)
+    new = _new(s, n.name)
+    return Scope(df.select(*[k.id for k in s.cols], value.alias(new.id)), (*s.cols, new))
+
+
 @handles(ir.Rolling)
 def _rolling(lo: Lowering, n: ir.Rolling, outer) -> Scope:
     s = lo.finite(n.input, outer)
     if n.frame.unit == "range" and len(n.keys) != 1:
         raise AlgebraError("a RANGE frame has one sort key")
+    if not n.per and n.keys and n.func in ("SUM", "COUNT", "MIN", "MAX") and (n.frame.unit, n.frame.lo.kind, n.frame.hi.kind) == ("rows", "first", "current") and _is_wide(s):
+        return _wide_running(lo, s, n, outer)
     x = lo.value(n.arg, s, outer)
     run = lambda f: over(lo, s, f, n.per, n.keys, n.frame, outer)
     if n.func == "AVG" and not isinstance(lo.type(x, s), (T.DoubleType, T.FloatType)):
@@ -146,11 +227,13 @@ def _window(lo: Lowering, n: ir.Window, outer) -> Scope:
     args = [lo.value(a, s, outer) for a in n.args]
     lits = [a.value if isinstance(a, ir.Lit) else None for a in n.args]
     plain = _spec(lo, s, n.per, n.keys, None, outer)
+    if n.func == "NTILE" and (not isinstance(lits[0], int) or lits[0] < 1):
+        raise AlgebraError("NTILE takes a whole number from 1")
+    if not n.per and (n.func in _RANKS or n.func == "NTILE") and _is_wide(s):
+        return _wide_rank(lo, s, n, outer)
     if n.func in _RANKS:
         value = _RANKS[n.func]().over(plain)
     elif n.func == "NTILE":
-        if not isinstance(lits[0], int) or lits[0] < 1:
-            raise AlgebraError("NTILE takes a whole number from 1")
         value = F.ntile(lits[0]).over(plain)
     elif n.func in ("LAG", "LEAD"):
         by = lits[1] if len(args) > 1 else 1

@@ -306,3 +306,36 @@ def test_endless_rows_need_a_bound(s):
     assert q(s, "σ n < 12 ∧ n > 4 (P)") == sorted([(5,), (7,), (11,)], key=repr)
     with pytest.raises(AlgebraError):
         s.relation("γ COUNT(*) → n (Nat)").df
+
+
+@pytest.mark.parametrize("call", ["ROW_NUMBER()", "RANK()", "DENSE_RANK()", "PERCENT_RANK()", "CUME_DIST()", "NTILE(7)"])
+def test_ranks_over_all_rows_in_ranges(session, monkeypatch, call):
+    from tessera.operators import windows
+
+    session.source("T", [(i, None if i % 11 == 0 else (i * 37) % 20) for i in range(200)], "i int, v int")
+    text = f"π i, x (WINDOW {call} SORT v DESC, i % {1 if 'RANK' in call or 'CUME' in call else 1000} AS x (T))"
+    wanted = rows(session.relation(text))
+    monkeypatch.setattr(windows, "ONE_TASK", -1)
+    assert rows(session.relation(text)) == wanted
+
+
+@pytest.mark.parametrize("agg", ["SUM", "COUNT", "MIN", "MAX"])
+def test_running_aggregates_over_all_rows_in_ranges(session, monkeypatch, agg):
+    from tessera.operators import windows
+
+    session.source("T", [(i, None if i % 3 == 0 or i < 9 else (i * 37) % 20 - 5) for i in range(100)], "i int, v int")
+    text = f"π i, x (ROLLING {agg}(v) OVER ALL ROWS SORT i AS x (T))"
+    wanted = rows(session.relation(text))
+    monkeypatch.setattr(windows, "ONE_TASK", -1)
+    assert rows(session.relation(text)) == wanted
+
+
+def test_a_large_cover_goes_by_rounds(session, monkeypatch):
+    from tessera.operators import search
+
+    session.source("T", [(i % 3, i % 2, (i * 7) % 5, None if i % 4 == 0 else 1) for i in range(60)], "a int, b int, c int, d int")
+    wanted = rows(session.relation("COVER 2 (T)"))
+    monkeypatch.setattr(search, "ONE_TASK", 0)
+    got = rows(session.relation("COVER 2 (T)"))
+    pairs = lambda rs: {(i, j, r[i], r[j]) for r in rs for i in range(4) for j in range(i)}
+    assert len(got) == len(wanted) and pairs(got) == pairs(wanted) == pairs(rows(session.relation("T")))
