@@ -119,7 +119,7 @@ _q("rolling_partition", "π event_id, m (ROLLING MAX(value) OVER PARTITION PER u
 _W = "FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"
 for _f, _s in (("ROW_NUMBER()", "row_number()"), ("RANK()", "rank()"), ("DENSE_RANK()", "dense_rank()"), ("PERCENT_RANK()", "percent_rank()"), ("CUME_DIST()", "cume_dist()"), ("NTILE(4)", "ntile(4)"), ("LAG(o_totalprice)", "lag(o_totalprice)"), ("LEAD(o_totalprice, 2, 0)", "lead(o_totalprice, 2, 0)"), ("FIRST_VALUE(o_orderkey)", "first_value(o_orderkey)"), ("LAST_VALUE(o_orderkey)", "last_value(o_orderkey)"), ("NTH_VALUE(o_orderkey, 2)", "nth_value(o_orderkey, 2)")):
     _q(f"window_{_f.split('(')[0].lower()}", f"π o_orderkey, x (WINDOW {_f} SORT o_orderdate ASC, o_orderkey ASC PER o_custkey AS x (orders))", f"SELECT o_orderkey, {_s} OVER w AS x {_W}")
-_q("sessionize", "π event_id, s (SESSIONIZE ts GAP DURATION 'PT6H' PER user_id AS s (events))", "SELECT event_id, 1 + sum(CASE WHEN gap > INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events)")
+_q("sessionize", "π event_id, s (SESSIONIZE ts GAP DURATION 'PT6H' PER user_id AS s (events))", "SELECT event_id, (1 + sum(CASE WHEN gap > INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts))::BIGINT AS s FROM (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events)")
 
 # Nested values, graphs ---------------------------------------------------------------
 _q("unnest", "UNNEST embedding WITH ORDINALITY i (π vec_id, embedding (embeddings))", "SELECT vec_id, unnest(embedding) AS embedding, generate_subscripts(embedding, 1) AS i FROM embeddings")
