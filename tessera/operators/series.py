@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import aggregates, durations, scalar
+from tessera.operators import windows
 from tessera.plans import ir
 from tessera.plans.lexer import AlgebraError
 from tessera.plans.lower import Lowering, handles
@@ -23,6 +24,8 @@ def _sessionize(lo: Lowering, n: ir.Sessionize, outer) -> Scope:
     gap = lo.value(n.gap, s, outer)
     if isinstance(t, (T.StringType, T.DateType)):
         x = x.cast("timestamp")
+    if not n.per and windows.is_wide(s):
+        return windows.wide_sessions(s, x, gap, n.name)
     w = Window.partitionBy(*[k.id for k in s.columns(n.per)]).orderBy(x.asc_nulls_last())
     opens = F.coalesce((x > F.lag(x).over(w) + gap).cast("int"), F.lit(0))
     df = s.df.withColumn("__open", opens)

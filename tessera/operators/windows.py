@@ -131,7 +131,7 @@ def over(lo: Lowering, s: Scope, value, per, keys, frame, outer):
 ONE_TASK = 256 << 20
 
 
-def _is_wide(s: Scope) -> bool:
+def is_wide(s: Scope) -> bool:
     stats = s.df._jdf.queryExecution().optimizedPlan().stats()
     return int(str(stats.sizeInBytes())) > ONE_TASK
 
@@ -188,6 +188,32 @@ def _wide_rank(lo: Lowering, s: Scope, n: ir.Window, outer) -> Scope:
     return Scope(df.select(*[x.id for x in s.cols], value.cast(kind).alias(new.id)), (*s.cols, new))
 
 
+def _wide_shift(lo: Lowering, s: Scope, n: ir.Window, args: list, by: int, outer) -> Scope:
+    """LAG and LEAD over all rows: rows meet on their number in the order."""
+    r = Ranges(s, lo.sort_columns(n.keys, s, outer))
+    df = cut(r.joined().withColumn("__n", F.col("__ahead") + F.row_number().over(r.local)))  # ties stay as numbered
+    step, there = (by, F.col("__n") > by) if n.func == "LAG" else (-by, F.col("__n") <= F.col("__total") - by)
+    moved = df.select((F.col("__n") + step).alias("__n"), args[0].alias("__v"))
+    value = F.when(there, F.col("__v"))
+    if len(args) > 2:
+        value = value.otherwise(args[2])
+    new = _new(s, n.name)
+    return Scope(df.join(moved, "__n", "left").select(*[x.id for x in s.cols], value.alias(new.id)), (*s.cols, new))
+
+
+def wide_sessions(s: Scope, x, gap, name: str) -> Scope:
+    """Sessions over all rows.  A range begins with the largest value before
+    it as its predecessor, and with the sessions opened before it."""
+    r = Ranges(s, [x.asc_nulls_last()], __most=F.max(x))
+    df = r.joined(__last=F.max("__most"))
+    opens = F.coalesce((x > F.coalesce(F.lag(x).over(r.local), F.col("__last")) + gap).cast("int"), F.lit(0))
+    r.df, r.sums = df.withColumn("__open", opens).drop("__total", "__ahead", "__last"), {"__rows": F.count(F.lit(1)), "__opened": F.sum("__open")}
+    df = r.joined(__before=F.sum("__opened"))
+    value = F.coalesce("__before", F.lit(0)) + F.sum("__open").over(r.local.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + 1
+    new = _new(s, name)
+    return Scope(df.select(*[k.id for k in s.cols], value.cast("bigint").alias(new.id)), (*s.cols, new))
+
+
 def _wide_running(lo: Lowering, s: Scope, n: ir.Rolling, outer) -> Scope:
     """A running aggregate over all rows: within ranges, and of the ranges
     before."""
@@ -209,7 +235,7 @@ def _rolling(lo: Lowering, n: ir.Rolling, outer) -> Scope:
     s = lo.finite(n.input, outer)
     if n.frame.unit == "range" and len(n.keys) != 1:
         raise AlgebraError("a RANGE frame has one sort key")
-    if not n.per and n.keys and n.func in ("SUM", "COUNT", "MIN", "MAX") and (n.frame.unit, n.frame.lo.kind, n.frame.hi.kind) == ("rows", "first", "current") and _is_wide(s):
+    if not n.per and n.keys and n.func in ("SUM", "COUNT", "MIN", "MAX") and (n.frame.unit, n.frame.lo.kind, n.frame.hi.kind) == ("rows", "first", "current") and is_wide(s):
         return _wide_running(lo, s, n, outer)
     x = lo.value(n.arg, s, outer)
     run = lambda f: over(lo, s, f, n.per, n.keys, n.frame, outer)
@@ -229,7 +255,7 @@ def _window(lo: Lowering, n: ir.Window, outer) -> Scope:
     plain = _spec(lo, s, n.per, n.keys, None, outer)
     if n.func == "NTILE" and (not isinstance(lits[0], int) or lits[0] < 1):
         raise AlgebraError("NTILE takes a whole number from 1")
-    if not n.per and (n.func in _RANKS or n.func == "NTILE") and _is_wide(s):
+    if not n.per and (n.func in _RANKS or n.func == "NTILE") and is_wide(s):
         return _wide_rank(lo, s, n, outer)
     if n.func in _RANKS:
         value = _RANKS[n.func]().over(plain)
@@ -239,6 +265,8 @@ def _window(lo: Lowering, n: ir.Window, outer) -> Scope:
         by = lits[1] if len(args) > 1 else 1
         if not isinstance(by, int) or by < 1:
             raise AlgebraError(f"{n.func} takes a whole number from 1")
+        if not n.per and is_wide(s):
+            return _wide_shift(lo, s, n, args, by, outer)
         moved = (F.lag if n.func == "LAG" else F.lead)(args[0], by).over(plain)
         if len(args) > 2:
             there = (F.lag if n.func == "LAG" else F.lead)(F.lit(True), by).over(plain)

@@ -339,3 +339,13 @@ def test_a_large_cover_goes_by_rounds(session, monkeypatch):
     got = rows(session.relation("COVER 2 (T)"))
     pairs = lambda rs: {(i, j, r[i], r[j]) for r in rs for i in range(4) for j in range(i)}
     assert len(got) == len(wanted) and pairs(got) == pairs(wanted) == pairs(rows(session.relation("T")))
+
+
+@pytest.mark.parametrize("text", ["WINDOW LAG(v, 2, 0 - 1) SORT i AS x (T)", "WINDOW LEAD(v) SORT i DESC AS x (T)", "SESSIONIZE t GAP 3 AS x (T)", "SESSIONIZE v GAP 2 AS x (T)"])
+def test_shifts_and_sessions_over_all_rows_in_ranges(session, monkeypatch, text):
+    from tessera.operators import windows
+
+    session.source("T", [(i, None if i % 11 == 0 else (i * 37) % 60, i * i // 9) for i in range(120)], "i int, v int, t int")
+    wanted = rows(session.relation(text))
+    monkeypatch.setattr(windows, "ONE_TASK", -1)
+    assert rows(session.relation(text)) == wanted
