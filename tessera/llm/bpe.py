@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from tessera.llm.common import map_texts
 
 _NONE = np.int32(2**31 - 1)
+#: Characters of a chunk: some 55 bytes of arrays each.
+CHUNK = 2_000_000
 
 # White space as the public tokenizer's regular expressions see it (Unicode
 # White_Space: unlike Python's \s, without the separators 0x1C to 0x1F).
@@ -162,7 +164,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", kee
         return made
 
     kept = ", ".join(f"{c} {dict(df.dtypes)[c]}" for c in keep)
-    return map_texts(df, text, f"{kept}, ids array<int>" + ", decoded binary" * decode, run, list(keep), setup)
+    return map_texts(df, text, f"{kept}, ids array<int>" + ", decoded binary" * decode, run, list(keep), setup, CHUNK)
 
 
 def _gather(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterator
 
@@ -56,10 +57,22 @@ def map_texts(
                 made = run(state, texts)
                 del texts
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + [x if isinstance(x, pa.Array) else pa.array(x) for x in made], names=list(keep) + new)
+                del made
+        del state
+        _give_back()
 
     return df.select(*cols).mapInArrow(go, schema)
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU library
+        pass
+
+
 def _split(schema: str) -> list[str]:
     """Top-level fields of a DDL string."""
     out, depth, at = [], 0, 0
