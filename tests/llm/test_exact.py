@@ -177,7 +177,7 @@ def test_fingerprints_and_classes(spark):
     assert {i: r["component_id"] for i, r in got.items()} == brute_classes(prints, 3)
 
 
-@pytest.mark.parametrize("bits", [0, 1, 3])
+@pytest.mark.parametrize("bits", [0, 1, 3, 6])
 def test_links_of_random_and_skewed_prints(spark, bits, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", 16)
     rng = np.random.default_rng(bits)
