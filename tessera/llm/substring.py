@@ -227,8 +227,8 @@ def _segments(df: DataFrame, window: int) -> DataFrame:
 
 
 class Filter:
-    """A Bloom filter of 64-bit numbers: what it lacks was never put in; the
-    few false finds cost work, not correctness."""
+    """A Bloom filter of 64-bit numbers: what it lacks was never put in.  A
+    false find must only ever keep a row."""
 
     def __init__(self, packed: np.ndarray):
         self.packed = packed
@@ -269,7 +269,8 @@ def _of_doc(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def _windows(df: DataFrame, window: int, filters: tuple[Filter, Filter, Filter]) -> DataFrame:
     """doc_id, th, start, w1, w2 of the windows to compare: ``filters`` tell
-    shared sides, segments of several documents, and those' first documents."""
+    shared sides, segments of several documents, and the first documents of
+    all segments that the second filter has, by chance or not."""
     shared = df.sparkSession.sparkContext.broadcast(filters)  # at most FILTER_BITS each
 
     def run(batches):
@@ -339,7 +340,9 @@ def repeats(df: DataFrame, window: int = 50) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_of_doc(b.column(0).to_numpy(), b.column(1).to_numpy()))], names=["x"])
 
-    filters = Filter.of(stored("sides"), stored("sides").count()), again, Filter.of(shared.select("lo", "h1").mapInArrow(first, "x bigint"), n)
+    # Also of segments of one document that `again` has by chance.
+    owned = _kept(firsts.select("lo", "h1"), again)
+    filters = Filter.of(stored("sides"), stored("sides").count()), again, Filter.of(owned.mapInArrow(first, "x bigint"), owned.count())
     _windows(df, window, filters).write.parquet(f"{base}/windows")
     found = stored("windows")
     twice = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("w1", "w2", "lo")

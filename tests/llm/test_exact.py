@@ -51,6 +51,17 @@ def test_long_repeats_of_runs_and_periods(spark):
     assert got_repeats(documents(spark, rows)) == brute_repeats(rows, 50)
 
 
+def test_long_repeats_when_filters_are_full(spark, monkeypatch):
+    monkeypatch.setattr(substring, "FILTER_BITS", 1 << 15)
+    rng = random.Random(3)
+    words = lambda n: " ".join(f"v{rng.randrange(5000)}" for _ in range(n))
+    rows = []
+    for i in range(0, 600, 2):  # long copies fill the filters; short passages have few segments
+        copy, passage = words(700), words(52)
+        rows += [(i, f"{words(60)} {copy} {words(60)} {passage} {words(60)}"), (i + 1, f"{words(60)} {passage} {words(60)} {copy}")]
+    assert got_repeats(documents(spark, rows)) == brute_repeats(rows, 50)
+
+
 def test_long_repeats_of_nothing(spark):
     assert got_repeats(documents(spark, [])) == []
     assert got_repeats(documents(spark, [(1, None), (2, "")])) == [(1, 0, 0, b""), (2, 0, 0, b"")]
