@@ -4,7 +4,8 @@ A word's embedding is the sum of hashed embeddings of the word and of its
 beginnings, and zero for words that hardly occur in training; filters of several widths run over the words, the maximum of
 each over the whole text is kept, and a logistic layer reads the maxima.
 Trained in numpy on a bounded sample of labelled rows.  Thresholds are
-calibrated by language, which is itself told from the text alone.
+calibrated by language, which is itself told from the text alone, on all
+labelled rows that the sample lacks.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import map_texts
 from tessera.llm.langid import _grams
+from tessera.llm.substring import Filter, _kept
 
 _WORD = re.compile(r"[^\W_]+")
 #: Rows of the embedding table, its width, filters of each width, widths.
@@ -29,6 +31,10 @@ ROWS, WIDTH, FILTERS, SPANS = 1 << 17, 8, 8, (1, 2, 3)
 LEAST = 3
 #: Labelled rows that training takes at most, of each label.
 SAMPLE = 2000
+#: One in so many labelled ids is never trained on, only calibrated on.
+APART = 5
+#: Steps of the histogram of scores.
+BINS = 1024
 #: Positives of all languages that weigh in each language's threshold.
 PRIOR = 20
 #: The score at which a text counts as toxic.
@@ -120,8 +126,7 @@ def _lay(texts: list[str], known: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def train(texts: list[str], labels: list[int], langs: list[str | None], rounds: int = 10, seed: int = 7) -> Model:
-    """Fits a model; the same input gives the same model.  A fifth of the
-    texts is kept from the gradient steps and sets the thresholds."""
+    """Fits a model without thresholds; the same input gives the same model."""
     model = Model.new(seed)
     y = np.array(labels, np.float32)
     if not len(texts) or y.min() == y.max():
@@ -129,9 +134,7 @@ def train(texts: list[str], labels: list[int], langs: list[str | None], rounds:
         model.out_bias = -4.0 if not len(texts) or y.max() == 0 else 4.0
         return model
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(texts))
-    fifth = len(texts) // 5
-    held, used = order[:fifth], order[fifth:]
+    used = rng.permutation(len(texts))
     often = Counter(w for i in used for w in set(_WORD.findall(texts[i].lower())))
     model.known[[_features(w)[0] for w, n in often.items() if n >= LEAST]] = True
     weight = np.where(y == 1, min(4.0, (y == 0).sum() / (y == 1).sum()), 1.0)
@@ -185,32 +188,36 @@ def train(texts: list[str], labels: list[int], langs: list[str | None], rounds:
         if x:
             counts[names.index(x)] += _grams(t, 4096)
     model.langs = np.log(counts / counts.sum(axis=1, keepdims=True))
-    raw = model.score([texts[i] for i in held])
-    told = model.language([texts[i] for i in held])
-    overall = _best_cut(raw, y[held])
-    model.cuts = np.full(max(1, len(names)), overall)
-    for k in range(len(names)):  # a language with few positives keeps near the cut of all
-        own = y[held][told == k]
-        share = own.sum() / (own.sum() + PRIOR)
-        model.cuts[k] = share * _best_cut(raw[told == k], own, overall) + (1 - share) * overall
     return model
 
 
-def _best_cut(raw: np.ndarray, y: np.ndarray, otherwise: float = 0.5) -> float:
+def set_cuts(model: Model, counts: np.ndarray, weight: np.ndarray) -> None:
+    """Thresholds from counts by told language, label and bin of the score;
+    ``weight`` is how many labelled rows a counted one of each label stands for."""
+    overall = _best_cut(counts.sum(axis=0), weight)
+    model.cuts = np.full(len(counts), overall)
+    for k, own in enumerate(counts):  # a language with few positives keeps near the cut of all
+        share = own[1].sum() / (own[1].sum() + PRIOR)
+        model.cuts[k] = share * _best_cut(own, weight, overall) + (1 - share) * overall
+
+
+def _best_cut(counts: np.ndarray, weight: np.ndarray, otherwise: float = 0.5) -> float:
     """The middle of the gap that gives the best F1, if both labels occur."""
-    if y.sum() < 5 or (y == 0).sum() < 5:
+    if counts.sum(axis=1).min() < 5:
         return otherwise
-    order = np.argsort(-raw, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    k = int(f1.argmax())
-    low = raw[order][k + 1] if k + 1 < len(y) else 0.0
-    return float(np.clip((raw[order][k] + low) / 2, 0.02, 0.98))
+    full = np.flatnonzero(counts.sum(axis=0))[::-1]
+    clean, hits = np.cumsum(counts[:, full] * weight[:, None], axis=1)
+    k = int((2 * hits / (hits + clean + hits[-1])).argmax())
+    low = full[k + 1] + 1 if k + 1 < len(full) else 0
+    return float(np.clip((full[k] + low) / 2 / BINS, 0.02, 0.98))
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", lang: str = "lang", sample: int = SAMPLE) -> Model:
     """Trains on at most ``sample`` labelled rows of each label (the smallest
-    hashes of the id, so as good as drawn), with their whole texts.
+    hashes of the id, so as good as drawn), with their whole texts, and sets
+    the thresholds on all other labelled rows; one id in APART is always among
+    those.  Each label weighs there as in the whole tables, so thresholds do
+    not depend on what the sample took.
 
     Null labels, ids and texts teach nothing; of several labels for one id
     the highest counts.  Without rows of both labels the model is constant.
@@ -219,12 +226,38 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
     # Ids first: `sample` of each label, whatever the size of the tables.
     there = known.join(rows.select("id"), "id", "left_semi")
+    apart = F.pmod(F.xxhash64("id", F.lit(APART)), F.lit(APART)) == 0
     ids = None
     for y in (0, 1):
-        one = there.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample)
+        one = there.where(~apart & (F.col("y") == y)).orderBy(F.xxhash64("id"), "id").limit(sample)
         ids = one if ids is None else ids.union(one)
     picked = rows.where("text is not null").join(F.broadcast(ids), "id").dropDuplicates(["id"]).orderBy("id").collect()  # 2 x sample rows
-    return train([r.text for r in picked], [r.y for r in picked], [r.lang for r in picked])
+    model = train([r.text for r in picked], [r.y for r in picked], [r.lang for r in picked])
+    if len({r.y for r in picked}) == 2:
+        outside = there.join(F.broadcast(ids.select("id")), "id", "left_anti")
+        total, left = ({r.y: r["count"] for r in x.groupBy("y").count().collect()} for x in (there, outside))
+        weight = np.array([total.get(y, 0) / max(1, left.get(y, 0)) for y in (0, 1)])
+        set_cuts(model, _counts(rows, outside, sum(left.values()), model), weight)
+    return model
+
+
+def _counts(rows: DataFrame, labelled: DataFrame, n: int, model: Model) -> np.ndarray:
+    """Rows by told language, label and bin of the score.  Texts stay where
+    they are: a filter tells the ``n`` labelled ids, what it has by chance
+    leaves in the join."""
+    wanted = Filter.of(labelled.select(F.xxhash64("id")), n)
+    some = _kept(rows.where("id is not null and text is not null").select("id", "text", F.xxhash64("id").alias("h1")), wanted)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(_, texts: list[str]) -> list:
+        bins = np.minimum(shared.value.score(texts) * BINS, BINS - 1)
+        return [pa.array(shared.value.language(texts), pa.int32()), pa.array(bins.astype(np.int32))]
+
+    scored = map_texts(some, "text", f"id {dict(some.dtypes)['id']}, told int, bin int", run, ["id"])
+    out = np.zeros((max(1, len(model.langs)), 2, BINS))
+    for r in scored.join(labelled, "id").groupBy("told", "y", "bin").count().collect():  # languages x 2 x BINS
+        out[r.told, r.y, r.bin] = r["count"]
+    return out
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -29,6 +29,15 @@ def test_toxicity_of_odd_texts_and_without_labels(spark):
     assert toxicity.score(documents(spark, []), toxicity.fit(docs, some)).count() == 0
 
 
+def test_toxicity_thresholds_fit_all_rows_not_the_sample(spark):
+    kinds = ["vile"] * 140 + ["maybe"] * 60 + ["maybe"] * 320 + ["fine"] * 1280  # the first 200 are toxic
+    docs = documents(spark, [(i, f"some {k} words") for i, k in enumerate(kinds)])
+    labels = spark.createDataFrame([(i, int(i < 200)) for i in range(len(kinds))], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels, sample=200)  # where maybe is toxic more often than not
+    vile, maybe, fine = model.score(["some vile words", "some maybe words", "some fine words"])
+    assert fine <= maybe < toxicity.CUT <= vile
+
+
 def test_the_same_rows_train_the_same_model():
     texts = [f"good word{i} here" for i in range(40)] + [f"vile slur{i % 3} here" for i in range(40)]
     a, b = (toxicity.train(texts, [0] * 40 + [1] * 40, ["en"] * 80, rounds=3) for _ in range(2))
