@@ -135,6 +135,20 @@ _q("cluster", "CLUSTER a, b AS label (π o_custkey → a, nxt → b (σ nxt −
 _q("path", f"PATH a, b HOPS 1 TO 3 AS depth ({_EDGES})", f"WITH e AS ({_EDGES_SQL}), d AS (SELECT a, b, 1 d FROM e UNION ALL SELECT x.a, y.b, 2 FROM e x JOIN e y ON x.b = y.a UNION ALL SELECT x.a, z.b, 3 FROM e x JOIN e y ON x.b = y.a JOIN e z ON y.b = z.a) SELECT a, b, min(d) AS depth FROM d GROUP BY a, b")
 _q("trace", f"π a, b, w (TRACE a, b VIA w MINIMIZE AS path (π a, b, 1 + a % 5 → w ({_EDGES})))", f"WITH RECURSIVE e AS (SELECT a, b, 1 + a % 5 AS w FROM ({_EDGES_SQL})), c AS (SELECT a, b, w FROM e UNION SELECT c.a, e.b, c.w + e.w FROM c JOIN e ON c.b = e.a WHERE c.w + e.w < 90) SELECT a, b, min(w) AS w FROM c WHERE a <> b GROUP BY a, b")
 _q("fix", f"FIX r (π a, b ({_EDGES}), π r.a, e.b (r ⨝ r.b = e.a (ρ e ({_EDGES}))))", f"WITH RECURSIVE e AS ({_EDGES_SQL}), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a, b FROM c")
+# over all events: every edge, and for all pairs one edge of each user (to the user of the event after the first)
+_NEXT = "σ nxt IS NOT NULL ∧ nxt <> user_id (WINDOW LEAD(user_id) SORT ts AS nxt (events))"
+_WHOLE = f"δ (π user_id → a, nxt → b ({_NEXT}))"
+_SPARSE = f"π user_id → a, nxt → b (TOP 1 ts ASC PER user_id ({_NEXT}))"
+_NEXT_SQL = "SELECT user_id, nxt, ts FROM (SELECT *, lead(user_id) OVER (ORDER BY ts) nxt FROM events) WHERE nxt IS NOT NULL AND nxt <> user_id"
+_WHOLE_SQL = f"SELECT DISTINCT user_id AS a, nxt AS b FROM ({_NEXT_SQL})"
+_SPARSE_SQL = f"SELECT user_id AS a, arg_min(nxt, ts) AS b FROM ({_NEXT_SQL}) GROUP BY user_id"
+_q("closure_whole", f"CLOSURE a, b ({_SPARSE})", f"WITH RECURSIVE e AS ({_SPARSE_SQL}), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a, b FROM c")
+_q("closure_reflexive_whole", f"({_SPARSE})* OVER (a, b)", f"WITH RECURSIVE e AS ({_SPARSE_SQL}), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a, b FROM c UNION SELECT a, a FROM e UNION SELECT b, b FROM e")
+_q("closure_from_whole", f"σ a = 3 (CLOSURE a, b ({_WHOLE}))", f"WITH RECURSIVE e AS ({_WHOLE_SQL}), c AS (SELECT a, b FROM e WHERE a = 3 UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a, b FROM c")
+_q("closure_undirected_whole", f"CLOSURE a ↔ b ({_SPARSE})", f"WITH RECURSIVE e0 AS ({_SPARSE_SQL}), e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a, b FROM c")
+_q("path_whole", f"PATH a, b HOPS 1 TO 3 AS depth ({_WHOLE})", f"WITH e AS ({_WHOLE_SQL}), d AS (SELECT a, b, 1 d FROM e UNION ALL SELECT x.a, y.b, 2 FROM e x JOIN e y ON x.b = y.a UNION ALL SELECT x.a, z.b, 3 FROM e x JOIN e y ON x.b = y.a JOIN e z ON y.b = z.a) SELECT a, b, min(d) AS depth FROM d GROUP BY a, b")
+_q("trace_whole", f"π a, b, w (TRACE a, b VIA w MINIMIZE AS path (π a, b, 1 + a % 5 → w ({_SPARSE})))")
+_q("fix_whole", f"FIX r (π a, b ({_SPARSE}), π r.a, e.b (r ⨝ r.b = e.a (ρ e ({_SPARSE}))))", f"WITH RECURSIVE e AS ({_SPARSE_SQL}), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a, b FROM c")
 _q("iterate", "ITERATE x (π n_nationkey → k, n_regionkey → v (nation), π k, v * 2 + 1 → v (x)) ROUNDS 3", "SELECT n_nationkey AS k, n_regionkey * 8 + 7 AS v FROM nation")
 _q("iterate_stable", "ITERATE x (π n_nationkey → k, n_nationkey → v (nation), π k, IIf(v > 10, v - 7, v) → v (x)) UNTIL STABLE MAX 20 ROUNDS", "SELECT n_nationkey AS k, CASE WHEN n_nationkey > 10 THEN n_nationkey - 7 * CAST(ceil((n_nationkey - 10) / 7.0) AS INT) ELSE n_nationkey END AS v FROM nation")
 

@@ -42,3 +42,24 @@ def test_query(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(core.queries()) - set(core.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
     assert core.queries()[name](spark, SF).count() > 0
+
+
+def test_whole_graphs_reach_every_user(spark, con):
+    users = {u for (u,) in con.execute("SELECT DISTINCT user_id FROM events").fetchall()}
+    nexts = con.execute("SELECT user_id, lead(user_id) OVER (ORDER BY ts) FROM events ORDER BY ts").fetchall()
+    step = {}
+    for a, b in nexts:
+        if b is not None and a != b:
+            step.setdefault(a, b)
+    wanted = set()
+    for a in step:  # one edge leaves each user, so there is one walk
+        at, w, seen = a, 0, set()
+        while at in step and at not in seen:
+            seen.add(at)
+            w += 1 + at % 5
+            at = step[at]
+            if at not in seen:
+                wanted.add((a, at, w))
+    got = {(r.a, r.b, r.w) for r in core.queries()["trace_whole"](spark, SF).collect()}
+    assert {g for g in got if g[0] != g[1]} == wanted
+    assert {r.a for r in core.queries()["closure_whole"](spark, SF).collect()} == users
