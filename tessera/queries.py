@@ -77,6 +77,12 @@ _EV = "SELECT {c} FROM events WHERE event_type = {t}"
 _q("asof_join", "π e.event_id, e.ts, v.event_id → seen, v.ts → at ((ρ e (σ event_type = 'purchase' (events))) ASOF e.user_id = v.user_id ∧ e.ts >= v.ts (ρ v (σ event_type = 'view' (events))))", "SELECT e.event_id, e.ts, v.event_id AS seen, v.ts AS at FROM (SELECT * FROM events WHERE event_type = 'purchase') e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON e.user_id = v.user_id AND e.ts >= v.ts")
 _q("asof_inner_within", "π e.event_id, v.event_id → seen ((ρ e (σ event_type = 'purchase' (events))) ASOF INNER e.user_id = v.user_id ∧ e.ts > v.ts WITHIN DURATION 'PT6H' (ρ v (σ event_type = 'view' (events))))", "SELECT e.event_id, v.event_id AS seen FROM (SELECT * FROM events WHERE event_type = 'purchase') e ASOF JOIN (SELECT * FROM events WHERE event_type = 'view') v ON e.user_id = v.user_id AND e.ts > v.ts WHERE e.ts - v.ts <= INTERVAL 6 HOUR")
 _q("interval_join", "π o_orderkey, l_orderkey, l_linenumber ((π o_orderkey, o_orderdate → os, o_orderdate + DURATION 'P30D' → oe (σ o_custkey < 20 (orders))) IJOIN INTERSECTS (os, oe, ls, le) (π l_orderkey, l_linenumber, l_shipdate → ls, l_shipdate + DURATION 'P1D' → le (σ l_suppkey = 1 (lineitem))))", "SELECT o_orderkey, l_orderkey, l_linenumber FROM (SELECT o_orderkey, o_orderdate os, o_orderdate + INTERVAL 30 DAY oe FROM orders WHERE o_custkey < 20) JOIN (SELECT l_orderkey, l_linenumber, l_shipdate ls, l_shipdate + INTERVAL 1 DAY le FROM lineitem WHERE l_suppkey = 1) ON os < le AND ls < oe")
+# the same joins over whole tables
+_q("full_join_using_whole", "(π o_custkey → k, o_orderkey (orders)) FJOIN USING (k) (π c_custkey → k, c_name (customer))", "SELECT coalesce(o_custkey, c_custkey) AS k, o_orderkey, c_name FROM orders FULL JOIN customer ON o_custkey = c_custkey")
+_q("left_join_using_whole", "(π o_custkey → k, o_orderkey (orders)) LJOIN USING (k) (π c_custkey → k, c_name (customer))", "SELECT o_custkey AS k, o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+_q("right_join_using_whole", "(π o_custkey → k, o_orderkey (orders)) RJOIN USING (k) (π c_custkey → k, c_name (customer))", "SELECT c_custkey AS k, o_orderkey, c_name FROM orders RIGHT JOIN customer ON o_custkey = c_custkey")
+_q("product_whole", "(π r_name (region)) × (π n_name (nation))", "SELECT r_name, n_name FROM region, nation")
+_q("interval_join_whole", "π o_orderkey, l_orderkey, l_linenumber ((π o_orderkey, o_orderdate → os, o_orderdate + DURATION 'PT1H' → oe (orders)) IJOIN INTERSECTS (os, oe, ls, le) (π l_orderkey, l_linenumber, l_shipdate → ls, l_shipdate + DURATION 'PT1H' → le (lineitem)))", "SELECT o_orderkey, l_orderkey, l_linenumber FROM (SELECT o_orderkey, o_orderdate os, o_orderdate + INTERVAL 1 HOUR oe FROM orders) JOIN (SELECT l_orderkey, l_linenumber, l_shipdate ls, l_shipdate + INTERVAL 1 HOUR le FROM lineitem) ON os < le AND ls < oe")
 _q("interval_join_during", "π a, b ((π event_id → a, ts → s, ts + DURATION 'PT1M' → e (events)) IJOIN DURING (s, e, ps, pe) (π event_id → b, ts → ps, ts + DURATION 'PT30M' → pe (events)))", "SELECT x.event_id AS a, y.event_id AS b FROM events x JOIN events y ON y.ts < x.ts AND x.ts + INTERVAL 1 MINUTE < y.ts + INTERVAL 30 MINUTE")
 _q("similarity_join", "π a.s_suppkey, b.s_suppkey → other ((ρ a (supplier)) ⨝ EditSimilarity(a.s_name, b.s_name) >= 0.9 ∧ a.s_suppkey < b.s_suppkey (ρ b (supplier)))", "SELECT a.s_suppkey, b.s_suppkey AS other FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND 1 - levenshtein(a.s_name, b.s_name) / greatest(length(a.s_name), length(b.s_name)) >= 0.9")
 _q("lateral", "π c.c_custkey, o_orderkey, o_totalprice ((ρ c (customer)) LATERAL (λ 2 (τ o_totalprice DESC, o_orderkey ASC (σ o_custkey = c.c_custkey (orders)))))", "SELECT c_custkey, o_orderkey, o_totalprice FROM (SELECT c_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY c_custkey ORDER BY o_totalprice DESC, o_orderkey) i FROM customer JOIN orders ON o_custkey = c_custkey) WHERE i <= 2")
