@@ -39,9 +39,10 @@ FOREIGN = -4.0
 
 
 class Page:
-    """The tokens of a page: runs of words (with their elements) and tags."""
+    """The tokens of a page: runs of words (with their elements) and tags.
+    Of features only the ``known`` are kept, if given."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, known: dict[str, int] | None = None):
         self.runs: list[tuple[str, str, tuple[str, ...]]] = []  # kind (word, tag), text or tag name, features
         stack: list[tuple[str, tuple[str, ...]]] = []
         at, end = 0, len(html)
@@ -76,10 +77,11 @@ class Page:
                 while stack and (stack[-1][0] in _CLOSES.get(name, ()) or name in _ENDS_P and any(x == "p" for x, _ in stack) and (stack[-1][0] == "p" or stack[-1][0] in _INLINE)):
                     stack.pop()
                 above = stack[-1][1] if stack else ()
-                own = [f"t:{name}"] * (name in _MARKS) + [f"h:{w.lower()}" for k, v in _ATTR.findall(m[3]) for w in _HINT.findall(v)][:12]
+                own = [f"t:{name}"] * (name in _MARKS) + [f"h:{w.lower()}" for k, v in _ATTR.findall(m[3]) for w in _HINT.findall(v)]
                 if own:  # the innermost element that says what it is
                     above = tuple(x for x in above if x[0] != "n")
                     own += [f"n:{x[2:]}" for x in own]
+                    own = own if known is None else [x for x in own if x in known]
                 inside = tuple(dict.fromkeys((*above, *own)))
                 self.runs.append(("tag", name, inside if name not in _VOID else above))
                 if name not in _VOID and not m[3].endswith("/"):
@@ -152,7 +154,7 @@ class Weights:
 def main_text(html: str, weights: Weights) -> str:
     """The text of the best region, by a linear scan; of regions that score
     alike the first.  Empty if no word scores above zero."""
-    page = Page(html)
+    page = Page(html, weights.at)
     scores = []
     for kind, x, fs in page.runs:
         if kind == "tag":

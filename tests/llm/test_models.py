@@ -154,3 +154,10 @@ def test_pages_of_the_table(spark):
     assert len(got) == len(pages) and all(r.n_chars == len(r.text) for r in got.values())
     assert np.mean([bool(r.text) for r in got.values()]) > 0.9
     assert not any("<p" in r.text or "</" in r.text for r in got.values())
+
+
+def test_the_role_of_an_element_after_many_words():
+    long = " ".join(f"word{i}" for i in range(60))
+    utility = " ".join(f"u{a}" for a in "abcdefghijklmnopqrst")
+    page = f"<article><p>{long}</p></article><div class='{utility} comments comment discussion'><p>{long} no</p></div>"
+    assert extract.main_text(page, extract.Weights()) == long
