@@ -23,7 +23,9 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(/?)([a-zA-Z][a-z
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _HINT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Elements whose content is never text of the page.
-_RAW = {"script", "style", "noscript", "template", "svg", "math", "textarea", "select", "title", "iframe", "object", "canvas", "audio", "video", "head"}
+_RAW = {"script", "style", "noscript", "template", "svg", "textarea", "select", "title", "iframe", "object", "canvas", "audio", "video", "head"}
+#: Those of them that go on to the end of the page when nothing closes them.
+_TO_END = {"script", "style", "textarea", "title", "iframe"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "ruby", "rt", "rp", "label"}
 #: Elements whose name tells their role.
@@ -67,10 +69,15 @@ class Page:
                 else:
                     self.runs.append(("tag", name, features))
             else:
-                if name in _RAW and not m[3].endswith("/"):
-                    close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
+                raw, close = name in _RAW and not m[3].endswith("/"), None
+                if raw:
+                    again = "" if name in _TO_END or name == "head" else rf"|<{re.escape(name)}(?=[\s/>])"
+                    close = re.compile(rf"</{re.escape(name)}\s*>{again}", re.I).search(html, at)
+                    if close and close[0][1] != "/":  # another begins: what stands between is not lost
+                        close = None
                     if name == "head" and not close:
                         continue
+                if raw and (close or name in _TO_END):  # others that nothing closes are ordinary
                     at = close.end() if close else end
                     self.runs.append(("tag", name, features))
                     continue

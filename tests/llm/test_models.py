@@ -161,3 +161,13 @@ def test_the_role_of_an_element_after_many_words():
     utility = " ".join(f"u{a}" for a in "abcdefghijklmnopqrst")
     page = f"<article><p>{long}</p></article><div class='{utility} comments comment discussion'><p>{long} no</p></div>"
     assert extract.main_text(page, extract.Weights()) == long
+
+
+@pytest.mark.parametrize("name", ["svg", "select", "object", "canvas", "audio", "video", "noscript", "template"])
+def test_unclosed_elements_do_not_end_the_page(name):
+    long = " ".join(f"word{i}" for i in range(60))
+    weights = extract.Weights()
+    for after in ("", f"<{name}>no</{name}>"):
+        assert extract.main_text(f"<div><{name}></div><article><p>{long}</p>{after}</article>", weights) == long
+    assert extract.main_text(f"<article><p>{long}</p><script>let x</article>", weights) == long
+    assert extract.main_text(f"<article><p>{long} <math><mi>x</mi></math></p></article>", weights) == f"{long} x"
