@@ -10,13 +10,24 @@ from pyspark.sql import functions as F
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``, shared by all executors; a
-    folder of our own only where none is set (a local session, as in tests)."""
+    folder of our own only where none is set in a local session (as in
+    tests).  A cluster without one is an error: its executors would write to
+    disks that no other sees."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that we wrote."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows from a reliable checkpoint, so that what follows can be
     run again without what came before."""
@@ -60,4 +71,3 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component"))
     alone = loops.select("node", F.col("node").alias("component"))
     return stars.union(roots.union(alone).distinct()).groupBy("node").agg(F.min("component").alias("component"))
-

@@ -4,7 +4,7 @@ import sys
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, ROOT)
+sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 # Python workers import the package too.
 os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, os.environ.get("PYTHONPATH")) if x)
 
@@ -31,12 +31,3 @@ def session(spark):
     from tessera.session import Session
 
     return Session(spark)
-
-
-def rows(rel):
-    """Rows as sorted tuples, with exact numbers as floats."""
-    import decimal
-
-    plain = lambda v: float(v) if isinstance(v, decimal.Decimal) else v
-    df = rel if hasattr(rel, "collect") else rel.df
-    return sorted((tuple(plain(v) for v in r) for r in df.collect()), key=repr)

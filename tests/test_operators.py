@@ -1,7 +1,7 @@
 """Operators over small literal tables, expected rows derived by hand."""
 
 import pytest
-from conftest import rows
+from algebra_cases import rows
 
 from tessera.plans.lexer import AlgebraError
 

@@ -6,7 +6,7 @@ import json
 import threading
 
 import pytest
-from conftest import rows
+from algebra_cases import rows
 
 from tessera.plans import rules
 from tessera.plans.lexer import AlgebraError
