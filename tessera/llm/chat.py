@@ -1,12 +1,14 @@
 """Chat formatting as a grammar round trip, in DataFrame functions only.
 
 The grammar: a conversation is a row of turns, and a turn is
-``<s>[INST]`` role ``[/INST]`` text ``</s>``.  A turn is first rendered as it
-is; the deterministic parser reads it back, and where that does not give the
-source the content is escaped: a backslash goes behind the bracket of every
-control string (and of every string that is one but for backslashes there),
-which the parser takes out again.  Whole conversations are parsed once more
-and compared with their source.
+``<s>[INST]`` role ``[/INST]`` text ``</s>``, where role and text hold no
+control string (``<s>``, ``</s>``, ``[INST]``, ``[/INST]``).  A turn is first
+rendered as it is; the deterministic parser reads it back, and where that does
+not give the source the content is escaped: a backslash goes behind the
+bracket of every control string (and of every string that is one but for
+backslashes there), which the parser takes out again.  So no control string
+inside a role or a text is ever handed out as it stands.  Whole conversations
+are parsed once more and compared with their source.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 _OPEN, _MID, _CLOSE = "<s>[INST]", "[/INST]", "</s>"
 _CONTROL = r"/?(?:s>|INST\])"
+_STRICT = rf"[<\[]{_CONTROL}"
 
 
 def escape(text: Column) -> Column:
@@ -32,14 +35,15 @@ def render_turn(role: Column, text: Column) -> Column:
 
 def parse(formatted: Column) -> Column:
     """array<struct<role, text, rendered>> of a formatted string; what does
-    not follow the grammar comes back as a turn with a null role."""
+    not follow the grammar (a control string within role or text breaks it)
+    comes back as a turn with a null role."""
     pieces = F.split(formatted, _CLOSE, -1)
 
     def turn(piece: Column) -> Column:
         rest = F.substr(piece, F.lit(len(_OPEN) + 1))
         role = F.substring_index(rest, _MID, 1)
         text = F.substr(rest, F.length(role) + F.lit(len(_MID) + 1))
-        good = piece.startswith(_OPEN) & rest.contains(_MID)
+        good = piece.startswith(_OPEN) & rest.contains(_MID) & ~role.rlike(_STRICT) & ~text.rlike(_STRICT)
         return F.struct(F.when(good, unescape(role)).alias("role"), F.when(good, unescape(text)).otherwise(piece).alias("text"), F.concat(piece, F.lit(_CLOSE)).alias("rendered"))
 
     # what follows the last close must be empty: else it is no turn at all
