@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import map_texts
 
-_LETTER = re.compile(r"[^\W\d_]")
 _ALPHA = re.compile(r"[^\W\d_]+")
 
 
@@ -30,6 +29,12 @@ class Profile:
     logp: np.ndarray  # languages x buckets
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of Unicode's category L is in the text (so not
+    for superscripts, fractions or Roman numerals of their own)."""
+    return any(map(str.isalpha, text))
+
+
 def _grams(text: str, buckets: int) -> np.ndarray:
     """Counts of the hashed byte trigrams of the lower-cased words."""
     b = np.frombuffer((" " + " ".join(_ALPHA.findall(text.lower())) + " ").encode("utf-8", "replace"), np.uint8)
@@ -135,7 +140,7 @@ def identify(df: DataFrame, profile: Profile, text: str = "text", keep: tuple[st
                 continue
             top, share, chosen = infer(np.stack([_grams(t, buckets) for t in part]), known)
             for t, k, s, row in zip(part, top.tolist(), share.tolist(), chosen):
-                some = bool(_LETTER.search(t))
+                some = has_letter(t)
                 lang.append(known.langs[k] if some else "und")
                 score.append(min(1.0, s) if some else 0.0)
                 mix.append(",".join(f"{known.langs[i]}:{row[i]:.3f}" for i in np.flatnonzero(row > 0.0005)) if some else "")

@@ -56,10 +56,10 @@ def test_a_mixture_of_two_languages(spark):
     en, de = "the house and the garden with all of them there", "das haus und der garten mit allen von ihnen dort"
     docs = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate([(en, "en"), (de, "de")] * 20)], "doc_id bigint, text string, lang string")
     profile = langid.fit(docs)
-    mixed = spark.createDataFrame([(1, " ".join([en] * 6 + [de] * 5)), (2, " ".join([en] * 9)), (3, "123 !"), (4, None), (5, "")], "doc_id bigint, text string")
+    mixed = spark.createDataFrame([(1, " ".join([en] * 6 + [de] * 5)), (2, " ".join([en] * 9)), (3, "123 !"), (4, None), (5, ""), (6, "\u00bd \u00b2 \u2167 _ 7")], "doc_id bigint, text string")
     got = collected(langid.identify(mixed, profile))
     assert got[1]["lang_pred"] == "en" and "de:" in got[1]["mixture"] and "en:" in got[1]["mixture"]
-    assert got[2]["mixture"] == "en:1.000" and [got[i]["lang_pred"] for i in (3, 4, 5)] == ["und"] * 3
+    assert got[2]["mixture"] == "en:1.000" and [got[i]["lang_pred"] for i in (3, 4, 5, 6)] == ["und"] * 4
 
 
 def test_languages_of_odd_texts_and_of_nothing(spark):
@@ -160,13 +160,13 @@ def test_the_role_of_an_element_after_many_words():
     long = " ".join(f"word{i}" for i in range(60))
     utility = " ".join(f"u{a}" for a in "abcdefghijklmnopqrst")
     page = f"<article><p>{long}</p></article><div class='{utility} comments comment discussion'><p>{long} no</p></div>"
-    assert extract.main_text(page, extract.Weights()) == long
+    assert extract.main_text(page, extract.trained()) == long
 
 
 @pytest.mark.parametrize("name", ["svg", "select", "object", "canvas", "audio", "video", "noscript", "template"])
 def test_unclosed_elements_do_not_end_the_page(name):
     long = " ".join(f"word{i}" for i in range(60))
-    weights = extract.Weights()
+    weights = extract.trained()
     for after in ("", f"<{name}>no</{name}>"):
         assert extract.main_text(f"<div><{name}></div><article><p>{long}</p>{after}</article>", weights) == long
     assert extract.main_text(f"<article><p>{long}</p><script>let x</article>", weights) == long
