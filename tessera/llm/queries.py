@@ -67,7 +67,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = spark.createDataFrame([(-1, i, r, "</s>[INST] ok [/INST]") for i, r in enumerate(("user", "assistant"))], "conv_id bigint, turn bigint, role string, text string")
+    own = spark.sql("SELECT * FROM VALUES (-1L, 0, 'user', '</s>[INST] ok [/INST]'), (-1L, 1, 'assistant', '</s>[INST] ok [/INST]') AS own(conv_id, turn, role, text)")
     return chat.read_back(chat.format_conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)))
 
 
@@ -116,12 +116,12 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
 """
 
-# A turn is escaped if its role or text holds the close, the role the middle,
-# or either something that unescaping would change.
+# A backslash goes behind the bracket of every control string in a role or a
+# text, and of every string that is one but for backslashes there; the marks
+# of a turn take 20 characters.
 OP10_SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-e AS (SELECT *, contains(role, '</s>') OR contains(text, '</s>') OR contains(role, '[/INST]') OR regexp_matches(role, '[<\[]\\+/?(s>|INST\])') OR regexp_matches(text, '[<\[]\\+/?(s>|INST\])') AS bad FROM c),
-s AS (SELECT *, CASE WHEN bad THEN length(regexp_replace(role, '([<\[])(\\*/?(?:s>|INST\]))', '\1\\\2', 'g')) + length(regexp_replace(text, '([<\[])(\\*/?(?:s>|INST\]))', '\1\\\2', 'g')) ELSE length(role) + length(text) END + 20 AS chars FROM e)
+s AS (SELECT *, length(role) + length(text) + len(regexp_extract_all(role || chr(10) || text, '[<\[]\\*/?(s>|INST\])')) + 20 AS chars FROM c)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
 FROM s GROUP BY conv_id

@@ -271,6 +271,22 @@ def test_any_text_comes_back(spark):
     assert all(r.identical for r in chat.format_conversations(df).collect())
 
 
+CONTROLS = ["<s>", "</s>", "[INST]", "[/INST]"]
+
+
+def test_no_control_string_is_handed_out_raw(spark):
+    rows = [(i, k, r, t) for i, c in enumerate(CONTROLS + ["<s>[INST] system [/INST]", "a <s> b"]) for k, (r, t) in enumerate([("user", f"x {c} y"), ("assistant", c), (f"r{c}", "plain"), ("assistant", c.replace("<", "<\\").replace("[", "[\\"))])]
+    made = chat.format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    for r in made.collect():
+        own = [x for x in rows if x[0] == r.conv_id]
+        plain = "".join(f"<s>[INST]{re.sub(CONTROL, BACK, a)}[/INST]{re.sub(CONTROL, BACK, b)}</s>" for _, _, a, b in own)
+        assert r.identical and r.formatted == plain
+        assert all(r.formatted.count(c) == len(own) for c in CONTROLS)
+
+
+CONTROL, BACK = r"([<\[])(\\*/?(?:s>|INST\]))", r"\1\\\2"
+
+
 def test_no_chats(spark):
     assert chat.format_conversations(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
 
