@@ -1,11 +1,12 @@
 """Near-duplicate vectors by int8 tile products with error bounds.
 
-Equal vectors are one class.  Classes are laid out in tiles along the main
-axis of the data; two tiles meet unless the distance between them on that
-axis alone rules every link out.  Where they meet, the products of their
-int8 codes come with a bound on the error of each pair, from the exact
-length of each vector's rounding residue: pairs that cannot reach the
-threshold are done with, all others are computed in double precision.
+Equal vectors are one class.  Classes are dealt into tiles by their nearest
+pivot; a vector goes to another tile only if the plane between the two pivots
+does not rule out every link (distances obey the triangle inequality).  What
+is sent are int8 codes with each vector's scale and the exact length of its
+rounding residue: where two tiles meet, the product of codes comes with a bound
+on the error of each pair, and only vectors of pairs that might reach the
+threshold are sent once more, in full, to be computed in double precision.
 """
 
 from __future__ import annotations
@@ -15,30 +16,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import tidy
 from tessera.llm.simhash import _forest
 from tessera.operators.components import components, cut
 
-#: Vectors of a tile, about.
-TILE = 4096
+#: Least number of tiles, and most vectors of one.  Every vector is sent to
+#: each tile at most, so copies do not grow below LEAST x TILE vectors.
+LEAST, TILE = 8, 131_072
+#: Vectors that pivots are chosen from, at most; any choice gives the same links.
+SAMPLE = 4096
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """int8 codes (held as floats, for exact products), scales, and the
-    lengths of the residues of unit vectors."""
+    """int8 codes, scales, and the lengths of the residues of unit vectors."""
     scale = np.abs(x).max(axis=1) / 127
     code = np.rint(x / scale[:, None])
-    return code, scale, np.sqrt(((x - code * scale[:, None]) ** 2).sum(axis=1))
+    return code.astype(np.int8), scale, np.sqrt(((x - code * scale[:, None]) ** 2).sum(axis=1))
 
 
-def possible(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    """True wherever two unit vectors might have that cosine: x.y differs
-    from the codes' product by at most |rx| + |ry| + |rx||ry|."""
-    (qa, sa, ra), (qb, sb, rb) = quantise(a), quantise(b)
-    exact = np.float32 if a.shape[1] * 127 * 127 < 1 << 24 else np.float64
-    product = (qa.astype(exact) @ qb.astype(exact).T) * (sa[:, None] * sb[None, :]).astype(np.float64)
+def reach(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray], threshold: float) -> np.ndarray:
+    """True wherever two quantised unit vectors might have that cosine: x.y
+    differs from the codes' product by at most |rx| + |ry| + |rx||ry|."""
+    (qa, sa, ra), (qb, sb, rb) = a, b
+    exact = np.float32 if qa.shape[1] * 127 * 127 < 1 << 24 else np.float64
+    product = (qa.astype(exact) @ qb.astype(exact).T) * (sa[:, None] * sb[None, :])
     return product + (ra[:, None] + rb[None, :] + ra[:, None] * rb[None, :] + 1e-9) >= threshold
 
 
+def possible(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """The same for unit vectors."""
+    return reach(quantise(a), quantise(b), threshold)
+
+
 def _units(column) -> np.ndarray:
     flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     x = flat.reshape(len(column), -1)
@@ -50,7 +59,7 @@ def _meet(threshold: float):
     def run(t: pa.Table) -> pa.Table:
         side = t.column("side").to_numpy()
         rep, w, x = t.column("rep").to_numpy(), t.column("w").to_numpy(), _units(t.column("v"))
-        own = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+        own = t.column("own")[0].as_py()
         at = np.flatnonzero(side == 0)
         bt = at if own else np.flatnonzero(side == 1)
         count = np.zeros(len(rep), np.int64)
@@ -78,29 +87,12 @@ def _meet(threshold: float):
     return run
 
 
-def _axis(classes: DataFrame, dim: int) -> np.ndarray:
-    """The main axis of the unit vectors of this dimension."""
-
-    def run(batches):
-        total = np.zeros((dim, dim))
-        for b in batches:
-            if b.num_rows:
-                x = _units(b.column(0))
-                total += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(range(dim * dim), pa.int32()), pa.array(total.ravel())], names=["at", "x"])
-
-    gram = np.zeros(dim * dim)
-    for r in classes.select("v").mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():  # dim x dim
-        gram[r.at] = r.x
-    return np.linalg.eigh(gram.reshape(dim, dim))[1][:, -1]
-
-
 def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", threshold: float = 0.95) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row.
 
     Vectors that are null, empty, zero or hold null or non-finite components
     link with nothing, nor do vectors of different lengths with each other.
-    Equal vectors are linked.  Rows with a null id count as no vector: no
+    Equal vectors are linked.  Ids are whole numbers.  Rows with a null id count as no vector: no
     links, null component, not kept.  Repeated ids are vectors of their own.
     """
     rows = df.select(F.col(f"`{vec_id}`").cast("bigint").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
@@ -124,48 +116,99 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
     return out.union(rows.where("v is null").select("vec_id", *alone))
 
 
+def _pivots(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
+    """Unit vectors in the middle of groups of the sample: farthest first,
+    then moved to their groups' means."""
+    at = [0]
+    near = x @ x[0]
+    for _ in range(min(k, len(x)) - 1):
+        at.append(int(near.argmin()))
+        near = np.maximum(near, x @ x[at[-1]])
+    p = x[at]
+    for _ in range(rounds):
+        own = (x @ p.T).argmax(axis=1)
+        mean = np.zeros_like(p)
+        np.add.at(mean, own, x)
+        size = np.linalg.norm(mean, axis=1, keepdims=True)
+        p = np.where(size > 1e-6, mean / np.maximum(size, 1e-6), p)
+    return p
+
+
+def _candidates(threshold: float, dim: int):
+    """Vectors of a pair of tiles that might have a link there."""
+
+    def run(t: pa.Table) -> pa.Table:
+        side, rep = t.column("side").to_numpy(), t.column("rep").to_numpy()
+        raw = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(rep), dim + 16)
+        code, rest = raw[:, :dim].view(np.int8), np.ascontiguousarray(raw[:, dim:]).view("<f8")
+        pick = lambda k: (code[k], rest[k, 0], rest[k, 1])
+        own = t.column("own")[0].as_py()
+        at = np.flatnonzero(side == 0)
+        bt = at if own else np.flatnonzero(side == 1)
+        found = np.zeros(len(rep), bool)
+        for p in range(0, len(at), 1024):
+            a = at[p : p + 1024]
+            for q in range(p if own else 0, len(bt), 4096):
+                b = bt[q : q + 4096]
+                i, j = np.nonzero(reach(pick(a), pick(b), threshold))
+                if own:
+                    other = p + i != q + j
+                    i, j = i[other], j[other]
+                found[a[i]] = found[b[j]] = True
+        some = np.flatnonzero(found)
+        keep = pa.array(some)
+        return pa.table({"m": t.column("m").take(keep), "own": t.column("own").take(keep), "side": t.column("side").take(keep), "rep": t.column("rep").take(keep)})
+
+    return run
+
+
 def _found(classes: DataFrame, dim: int, n: int, threshold: float) -> DataFrame:
     """Link counts (``a, null, n``) and enough links (``a, b, 0``) to give
     the components of all."""
     spark = classes.sparkSession
-    axis = spark.sparkContext.broadcast(_axis(classes, dim))  # dim numbers
+    tiles = max(min(LEAST, n), -(-n // TILE))
+    some = classes.select("v", "rep").orderBy(F.xxhash64("rep")).limit(SAMPLE).select("v").toArrow()
+    pivots = _pivots(_units(some.column("v")), min(tiles, 1024))
+    shared = spark.sparkContext.broadcast(pivots)  # at most 1024 x dim numbers
 
-    def project(batches):
+    def nearest(batches):
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_units(b.column(0)) @ axis.value)], names=["v", "rep", "w", "z"])
-
-    laid = classes.select("v", "rep", "w").mapInArrow(project, "v array<double>, rep bigint, w bigint, z double")
-    tiles = max(1, -(-n // TILE))
-    if tiles > 1:
-        # Boundaries need not be exact; which tile a vector is in is.
-        cuts = sorted(set(laid.approxQuantile("z", [i / tiles for i in range(1, tiles)], 0.1 / tiles)))
-    else:
-        cuts = []
-    low = np.array([-np.inf, *cuts])
-    high = np.array([*cuts, np.inf])
-    # |x - y|^2 = 2 - 2 cos: farther apart than this on one axis is no link.
-    reach = np.sqrt(2 - 2 * threshold) + 1e-9
-    last = np.searchsorted(low, high + reach, side="right") - 1
-    first = np.searchsorted(last, np.arange(len(low)), side="left")
-    plan = spark.createDataFrame([(i, int(first[i]), int(last[i])) for i in range(len(low))], "tile int, first int, last int")
-    edges = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else None
-    tile = F.lit(0) if edges is None else F.aggregate(edges, F.lit(0), lambda k, c: k + F.when(F.col("z") >= c, 1).otherwise(0)) if len(cuts) < 64 else _bisect(cuts)(F.col("z"))
-    laid = laid.withColumn("tile", tile.cast("int")).join(F.broadcast(plan) if len(low) < 100_000 else plan, "tile")
-    as_left = F.transform(F.sequence("tile", "last"), lambda j: F.struct(F.col("tile").alias("i"), j.alias("j"), F.lit(0).alias("side")))
-    as_right = F.transform(F.filter(F.sequence("first", "tile"), lambda i: i < F.col("tile")), lambda i: F.struct(i.alias("i"), F.col("tile").alias("j"), F.lit(1).alias("side")))
-    dealt = laid.select("v", "rep", "w", F.explode(F.concat(as_left, as_right)).alias("m")).select("v", "rep", "w", "m.*")
-    return dealt.groupBy("i", "j").applyInArrow(_meet(threshold), "a bigint, b bigint, n bigint")
-
-
-def _bisect(cuts: list[float]):
-    """The tile of a projection, for many tiles."""
-    shared = np.array(cuts)
-
-    @F.pandas_udf("int")
-    def tile(z):
-        import pandas as pd
-
-        return pd.Series(np.searchsorted(shared, z.to_numpy(), side="right").astype(np.int32))
-
-    return tile
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array((_units(b.column(0)) @ shared.value.T).argmax(axis=1).astype(np.int32))], names=["rep", "cell"])
+
+    of = cut(classes.select("v", "rep").mapInArrow(tidy(nearest), "rep bigint, cell int"))
+    size = np.zeros(len(pivots), np.int64)
+    for r in of.groupBy("cell").count().collect():  # a row a pivot
+        size[r.cell] = r["count"]
+    # A cell with many vectors is several tiles, all of which meet.
+    parts = np.maximum(1, -(-size // max(1, -(-n // tiles))))
+    first = np.concatenate([[0], np.cumsum(parts)])
+    total = int(first[-1])
+    cell_of = np.repeat(np.arange(len(parts)), parts)
+    far = np.sqrt(2 - 2 * threshold) + 1e-9
+    plan = spark.sparkContext.broadcast((parts, first, cell_of, np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))))
+
+    def deal(batches):
+        parts, first, cell_of, gap = plan.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2000):
+                b = batch.slice(start, 2000)
+                x, rep = _units(b.column(0)), b.column(1).to_numpy()
+                code, scale, residue = quantise(x)
+                packed = np.concatenate([code.view(np.uint8), np.stack([scale, residue], axis=1).astype("<f8").view(np.uint8)], axis=1)
+                near = x @ shared.value.T
+                cell = near.argmax(axis=1)
+                own = first[cell] + (rep * 2654435761 >> 16) % parts[cell]
+                # x is at least so far from all that is nearer to the other pivot.
+                may = near[np.arange(len(x)), cell][:, None] - near <= far * gap[cell]
+                i, tile = np.nonzero(may[:, cell_of])
+                mine = own[i]
+                low, high = np.minimum(mine, tile), np.maximum(mine, tile)
+                flat = pa.Array.from_buffers(pa.binary(), len(i), [None, pa.py_buffer(np.arange(0, (len(i) + 1) * packed.shape[1], packed.shape[1], dtype=np.int32).tobytes()), pa.py_buffer(packed[i].tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(low * len(cell_of) + high), pa.array(low == high), pa.array((mine != low).astype(np.int8)), pa.array(rep[i]), flat], names=["m", "own", "side", "rep", "code"])
+
+    pairs = min(10_000, total * (total + 1) // 2)
+    dealt = classes.select("v", "rep").mapInArrow(tidy(deal), "m bigint, own boolean, side tinyint, rep bigint, code binary").repartition(pairs, "m")
+    near = dealt.groupBy("m").applyInArrow(_candidates(threshold, dim), "m bigint, own boolean, side tinyint, rep bigint")
+    full = cut(near).join(classes.select("v", "rep", "w"), "rep")
+    return full.groupBy("m").applyInArrow(_meet(threshold), "a bigint, b bigint, n bigint")

@@ -135,11 +135,13 @@ def test_vector_links(spark):
     assert got[206] == (1, 206, True) and got[207] == (1, 206, False)
 
 
-def test_vectors_over_many_tiles(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "TILE", 20)
+@pytest.mark.parametrize("least, tile, dim", [(1, 10_000, 8), (8, 10_000, 8), (2, 20, 8), (30, 10_000, 3), (8, 50, 40)])
+def test_vectors_over_many_tiles(spark, monkeypatch, least, tile, dim):
+    monkeypatch.setattr(vectors, "LEAST", least)
+    monkeypatch.setattr(vectors, "TILE", tile)
     rng = np.random.default_rng(4)
-    base = rng.normal(size=(40, 8))
-    rows = [(i, (base[rng.integers(40)] + rng.normal(scale=0.12, size=8)).tolist()) for i in range(400)]
+    base = rng.normal(size=(40, dim))
+    rows = [(i, (base[rng.integers(40)] + rng.normal(scale=0.12, size=dim)).tolist()) for i in range(400)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df).collect()}
     assert got == brute_links(rows, 0.95)
