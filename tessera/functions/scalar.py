@@ -285,6 +285,9 @@ def _age(a, t):
     x, y = (F.current_date().cast("timestamp"), a[0]) if len(a) == 1 else a
     x, y = x.cast("timestamp"), y.cast("timestamp")
     m = _whole(F.months_between(x, y)).cast("int")
+    # months_between passes over the time of day where the days agree
+    at = y + F.make_ym_interval(F.lit(0), m)
+    m = m - F.when((x >= y) & (at > x), 1).when((x < y) & (at < x), -1).otherwise(0)
     return F.struct(m.alias("months"), (x - (y + F.make_ym_interval(F.lit(0), m))).alias("exact"))
 
 

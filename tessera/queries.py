@@ -61,9 +61,6 @@ _q("truth_relations", "(nation × UNIT) ⊎ (nation × EMPTY)", "SELECT * FROM n
 # Joins ----------------------------------------------------------------------------
 _q("natural_join", "customer ⋈ (ρ (n_nationkey → c_nationkey) (nation))", "SELECT c.*, n.n_name, n.n_regionkey FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey")
 _q("join_using", "(ρ (c_nationkey → k) (customer)) JOIN USING (k) (ρ (s_nationkey → k) (supplier))", "SELECT c.c_nationkey AS k, c_custkey, c_name, c_acctbal, c_mktsegment, s_suppkey, s_name, s_acctbal FROM customer c JOIN supplier s ON c.c_nationkey = s.s_nationkey")
-_q("full_join_using", "(π o_custkey → k, o_orderkey (σ o_orderkey % 7 = 0 (orders))) FJOIN USING (k) (π c_custkey → k, c_name (σ c_custkey % 5 = 0 (customer)))", "SELECT coalesce(a.o_custkey, b.c_custkey) AS k, a.o_orderkey, b.c_name FROM (SELECT * FROM orders WHERE o_orderkey % 7 = 0) a FULL JOIN (SELECT * FROM customer WHERE c_custkey % 5 = 0) b ON a.o_custkey = b.c_custkey")
-_q("left_join_using", "(π o_custkey → k, o_orderkey (orders)) LJOIN USING (k) (π c_custkey → k, c_name (σ c_custkey % 5 = 0 (customer)))", "SELECT o_custkey AS k, o_orderkey, c_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 5 = 0) ON o_custkey = c_custkey")
-_q("right_join_using", "(π o_custkey → k, o_orderkey (σ o_orderkey % 7 = 0 (orders))) RJOIN USING (k) (π c_custkey → k, c_name (customer))", "SELECT c_custkey AS k, o_orderkey, c_name FROM (SELECT * FROM orders WHERE o_orderkey % 7 = 0) RIGHT JOIN customer ON o_custkey = c_custkey")
 _q("theta_join", "π o_orderkey, c_name (orders ⨝ o_custkey = c_custkey ∧ o_totalprice > 100000 (customer))", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey AND o_totalprice > 100000")
 _q("self_join", "π a.n_name, b.n_name → other ((ρ a (nation)) ⨝ a.n_regionkey = b.n_regionkey ∧ a.n_nationkey < b.n_nationkey (ρ b (nation)))", "SELECT a.n_name, b.n_name AS other FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 _q("left_join", "π c_custkey, o_orderkey (customer ⟕ c_custkey = o_custkey ∧ o_totalprice > 250000 (orders))", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 250000")
@@ -72,18 +69,18 @@ _q("full_join", "π c_custkey, s_suppkey (customer ⟗ c_custkey = s_suppkey (su
 _q("semi_join", "orders ⋉ o_orderkey = l_orderkey ∧ l_quantity > 45 (lineitem)", "SELECT * FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE o_orderkey = l_orderkey AND l_quantity > 45)")
 _q("anti_join", "orders ▷ o_orderkey = l_orderkey (lineitem)", "SELECT * FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE o_orderkey = l_orderkey)")
 _q("universal_semi_join", "customer USEMI c_acctbal >= s_acctbal ∨ c_nationkey <> s_nationkey (supplier)", "SELECT * FROM customer WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE NOT (c_acctbal >= s_acctbal OR c_nationkey <> s_nationkey))")
-_q("product", "(π r_name (region)) × (π n_name (σ n_nationkey < 5 (nation)))", "SELECT r_name, n_name FROM region, nation WHERE n_nationkey < 5")
 _EV = "SELECT {c} FROM events WHERE event_type = {t}"
 _q("asof_join", "π e.event_id, e.ts, v.event_id → seen, v.ts → at ((ρ e (σ event_type = 'purchase' (events))) ASOF e.user_id = v.user_id ∧ e.ts >= v.ts (ρ v (σ event_type = 'view' (events))))", "SELECT e.event_id, e.ts, v.event_id AS seen, v.ts AS at FROM (SELECT * FROM events WHERE event_type = 'purchase') e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON e.user_id = v.user_id AND e.ts >= v.ts")
 _q("asof_inner_within", "π e.event_id, v.event_id → seen ((ρ e (σ event_type = 'purchase' (events))) ASOF INNER e.user_id = v.user_id ∧ e.ts > v.ts WITHIN DURATION 'PT6H' (ρ v (σ event_type = 'view' (events))))", "SELECT e.event_id, v.event_id AS seen FROM (SELECT * FROM events WHERE event_type = 'purchase') e ASOF JOIN (SELECT * FROM events WHERE event_type = 'view') v ON e.user_id = v.user_id AND e.ts > v.ts WHERE e.ts - v.ts <= INTERVAL 6 HOUR")
-_q("interval_join", "π o_orderkey, l_orderkey, l_linenumber ((π o_orderkey, o_orderdate → os, o_orderdate + DURATION 'P30D' → oe (σ o_custkey < 20 (orders))) IJOIN INTERSECTS (os, oe, ls, le) (π l_orderkey, l_linenumber, l_shipdate → ls, l_shipdate + DURATION 'P1D' → le (σ l_suppkey = 1 (lineitem))))", "SELECT o_orderkey, l_orderkey, l_linenumber FROM (SELECT o_orderkey, o_orderdate os, o_orderdate + INTERVAL 30 DAY oe FROM orders WHERE o_custkey < 20) JOIN (SELECT l_orderkey, l_linenumber, l_shipdate ls, l_shipdate + INTERVAL 1 DAY le FROM lineitem WHERE l_suppkey = 1) ON os < le AND ls < oe")
-# the same joins over whole tables
-_q("full_join_using_whole", "(π o_custkey → k, o_orderkey (orders)) FJOIN USING (k) (π c_custkey → k, c_name (customer))", "SELECT coalesce(o_custkey, c_custkey) AS k, o_orderkey, c_name FROM orders FULL JOIN customer ON o_custkey = c_custkey")
-_q("left_join_using_whole", "(π o_custkey → k, o_orderkey (orders)) LJOIN USING (k) (π c_custkey → k, c_name (customer))", "SELECT o_custkey AS k, o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
-_q("right_join_using_whole", "(π o_custkey → k, o_orderkey (orders)) RJOIN USING (k) (π c_custkey → k, c_name (customer))", "SELECT c_custkey AS k, o_orderkey, c_name FROM orders RIGHT JOIN customer ON o_custkey = c_custkey")
-_q("product_whole", "(π r_name (region)) × (π n_name (nation))", "SELECT r_name, n_name FROM region, nation")
-_q("interval_join_whole", "π o_orderkey, l_orderkey, l_linenumber ((π o_orderkey, o_orderdate → os, o_orderdate + DURATION 'PT1H' → oe (orders)) IJOIN INTERSECTS (os, oe, ls, le) (π l_orderkey, l_linenumber, l_shipdate → ls, l_shipdate + DURATION 'PT1H' → le (lineitem)))", "SELECT o_orderkey, l_orderkey, l_linenumber FROM (SELECT o_orderkey, o_orderdate os, o_orderdate + INTERVAL 1 HOUR oe FROM orders) JOIN (SELECT l_orderkey, l_linenumber, l_shipdate ls, l_shipdate + INTERVAL 1 HOUR le FROM lineitem) ON os < le AND ls < oe")
+_q("full_join_using", "(π o_custkey → k, o_orderkey (orders)) FJOIN USING (k) (π c_custkey → k, c_name (customer))", "SELECT coalesce(o_custkey, c_custkey) AS k, o_orderkey, c_name FROM orders FULL JOIN customer ON o_custkey = c_custkey")
+_q("left_join_using", "(π o_custkey → k, o_orderkey (orders)) LJOIN USING (k) (π c_custkey → k, c_name (customer))", "SELECT o_custkey AS k, o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+_q("right_join_using", "(π o_custkey → k, o_orderkey (orders)) RJOIN USING (k) (π c_custkey → k, c_name (customer))", "SELECT c_custkey AS k, o_orderkey, c_name FROM orders RIGHT JOIN customer ON o_custkey = c_custkey")
+_q("product", "(π r_name (region)) × (π n_name (nation))", "SELECT r_name, n_name FROM region, nation")
+_q("interval_join", "π o_orderkey, l_orderkey, l_linenumber ((π o_orderkey, o_orderdate → os, o_orderdate + DURATION 'PT1H' → oe (orders)) IJOIN INTERSECTS (os, oe, ls, le) (π l_orderkey, l_linenumber, l_shipdate → ls, l_shipdate + DURATION 'PT1H' → le (lineitem)))", "SELECT o_orderkey, l_orderkey, l_linenumber FROM (SELECT o_orderkey, o_orderdate os, o_orderdate + INTERVAL 1 HOUR oe FROM orders) JOIN (SELECT l_orderkey, l_linenumber, l_shipdate ls, l_shipdate + INTERVAL 1 HOUR le FROM lineitem) ON os < le AND ls < oe")
 _q("interval_join_during", "π a, b ((π event_id → a, ts → s, ts + DURATION 'PT1M' → e (events)) IJOIN DURING (s, e, ps, pe) (π event_id → b, ts → ps, ts + DURATION 'PT30M' → pe (events)))", "SELECT x.event_id AS a, y.event_id AS b FROM events x JOIN events y ON y.ts < x.ts AND x.ts + INTERVAL 1 MINUTE < y.ts + INTERVAL 30 MINUTE")
+_ALLEN = {"OVERLAPS": "s < x AND x < e AND e < y", "OVERLAPPED_BY": "x < s AND s < y AND y < e", "CONTAINS": "s < x AND y < e", "STARTS": "s = x AND e < y", "STARTED_BY": "s = x AND y < e", "FINISHES": "e = y AND x < s", "FINISHED_BY": "e = y AND s < x", "EQUALS": "s = x AND e = y", "MEETS": "e = x", "MET_BY": "s = y", "PRECEDES": "e < x", "PRECEDED_BY": "y < s"}
+for _k, _p in _ALLEN.items():
+    _q(f"interval_join_{_k.lower()}", f"π a, b ((π n_nationkey → a, n_regionkey → s, n_regionkey + 1 + n_nationkey % 3 → e (nation)) IJOIN {_k} (s, e, x, y) (π n_nationkey → b, n_nationkey % 4 → x, n_nationkey % 4 + 1 + n_regionkey % 3 → y (nation)))", f"SELECT a, b FROM (SELECT n_nationkey AS a, n_regionkey AS s, n_regionkey + 1 + n_nationkey % 3 AS e FROM nation) JOIN (SELECT n_nationkey AS b, n_nationkey % 4 AS x, n_nationkey % 4 + 1 + n_regionkey % 3 AS y FROM nation) ON {_p}")
 _q("similarity_join", "π a.s_suppkey, b.s_suppkey → other ((ρ a (supplier)) ⨝ EditSimilarity(a.s_name, b.s_name) >= 0.9 ∧ a.s_suppkey < b.s_suppkey (ρ b (supplier)))", "SELECT a.s_suppkey, b.s_suppkey AS other FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND 1 - levenshtein(a.s_name, b.s_name) / greatest(length(a.s_name), length(b.s_name)) >= 0.9")
 _q("lateral", "π c.c_custkey, o_orderkey, o_totalprice ((ρ c (customer)) LATERAL (λ 2 (τ o_totalprice DESC, o_orderkey ASC (σ o_custkey = c.c_custkey (orders)))))", "SELECT c_custkey, o_orderkey, o_totalprice FROM (SELECT c_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY c_custkey ORDER BY o_totalprice DESC, o_orderkey) i FROM customer JOIN orders ON o_custkey = c_custkey) WHERE i <= 2")
 _q("lateral_outer", "π c.c_custkey, o_orderkey ((ρ c (customer)) OUTER LATERAL (σ o_custkey = c.c_custkey ∧ o_totalprice > 250000 (orders)))", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 250000")
@@ -131,16 +128,7 @@ _q("sessionize", "π event_id, s (SESSIONIZE ts GAP DURATION 'PT6H' PER user_id
 _q("unnest", "UNNEST embedding WITH ORDINALITY i (π vec_id, embedding (embeddings))", "SELECT vec_id, unnest(embedding) AS embedding, generate_subscripts(embedding, 1) AS i FROM embeddings")
 _q("tree", "TREE k BY p AS children ((π n_nationkey + 100 → k, n_regionkey → p (nation)) ⊎ (π r_regionkey → k, NULLIF(r_regionkey, r_regionkey) (region)))")
 # edges of users to the user of the next event, for small numbers
-_EDGES = "δ (π user_id → a, nxt → b (σ nxt IS NOT NULL ∧ user_id < 40 ∧ nxt < 40 ∧ nxt <> user_id ∧ event_id % 10 = 0 (WINDOW LEAD(user_id) SORT ts AS nxt (events))))"
-_EDGES_SQL = "SELECT DISTINCT user_id AS a, nxt AS b FROM (SELECT *, lead(user_id) OVER (ORDER BY ts) nxt FROM events) WHERE nxt IS NOT NULL AND user_id < 40 AND nxt < 40 AND nxt <> user_id AND event_id % 10 = 0"
-_q("closure", f"CLOSURE a, b ({_EDGES})", f"WITH RECURSIVE e AS ({_EDGES_SQL}), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a, b FROM c")
-_q("closure_reflexive", f"({_EDGES})* OVER (a, b)", f"WITH RECURSIVE e AS ({_EDGES_SQL}), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a, b FROM c UNION SELECT a, a FROM e UNION SELECT b, b FROM e")
-_q("closure_from", f"σ a = 3 (CLOSURE a, b ({_EDGES}))", f"WITH RECURSIVE e AS ({_EDGES_SQL}), c AS (SELECT a, b FROM e WHERE a = 3 UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a, b FROM c")
-_q("closure_undirected", f"CLOSURE a ↔ b (σ a < 12 ∧ b < 12 ({_EDGES}))", f"WITH RECURSIVE e0 AS (SELECT * FROM ({_EDGES_SQL}) WHERE a < 12 AND b < 12), e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a, b FROM c")
 _q("cluster", "CLUSTER a, b AS label (π o_custkey → a, nxt → b (σ nxt − o_custkey < 9 ∧ nxt > o_custkey (WINDOW LEAD(o_custkey) SORT o_orderkey AS nxt (orders))))".replace("nxt − o_custkey", "nxt - o_custkey"), "WITH RECURSIVE e0 AS (SELECT o_custkey a, nxt b FROM (SELECT *, lead(o_custkey) OVER (ORDER BY o_orderkey) nxt FROM orders) WHERE nxt - o_custkey < 9 AND nxt > o_custkey), e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a AS node, dense_rank() OVER (ORDER BY m) AS label FROM (SELECT a, least(a, min(b)) AS m FROM c GROUP BY a)")
-_q("path", f"PATH a, b HOPS 1 TO 3 AS depth ({_EDGES})", f"WITH e AS ({_EDGES_SQL}), d AS (SELECT a, b, 1 d FROM e UNION ALL SELECT x.a, y.b, 2 FROM e x JOIN e y ON x.b = y.a UNION ALL SELECT x.a, z.b, 3 FROM e x JOIN e y ON x.b = y.a JOIN e z ON y.b = z.a) SELECT a, b, min(d) AS depth FROM d GROUP BY a, b")
-_q("trace", f"π a, b, w (TRACE a, b VIA w MINIMIZE AS path (π a, b, 1 + a % 5 → w ({_EDGES})))", f"WITH RECURSIVE e AS (SELECT a, b, 1 + a % 5 AS w FROM ({_EDGES_SQL})), c AS (SELECT a, b, w FROM e UNION SELECT c.a, e.b, c.w + e.w FROM c JOIN e ON c.b = e.a WHERE c.w + e.w < 90) SELECT a, b, min(w) AS w FROM c WHERE a <> b GROUP BY a, b")
-_q("fix", f"FIX r (π a, b ({_EDGES}), π r.a, e.b (r ⨝ r.b = e.a (ρ e ({_EDGES}))))", f"WITH RECURSIVE e AS ({_EDGES_SQL}), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a, b FROM c")
 # over all events: every edge, and for all pairs one edge of each user (to the user of the event after the first)
 _NEXT = "σ nxt IS NOT NULL ∧ nxt <> user_id (WINDOW LEAD(user_id) SORT ts AS nxt (events))"
 _WHOLE = f"δ (π user_id → a, nxt → b ({_NEXT}))"
@@ -148,13 +136,13 @@ _SPARSE = f"π user_id → a, nxt → b (TOP 1 ts ASC PER user_id ({_NEXT}))"
 _NEXT_SQL = "SELECT user_id, nxt, ts FROM (SELECT *, lead(user_id) OVER (ORDER BY ts) nxt FROM events) WHERE nxt IS NOT NULL AND nxt <> user_id"
 _WHOLE_SQL = f"SELECT DISTINCT user_id AS a, nxt AS b FROM ({_NEXT_SQL})"
 _SPARSE_SQL = f"SELECT user_id AS a, arg_min(nxt, ts) AS b FROM ({_NEXT_SQL}) GROUP BY user_id"
-_q("closure_whole", f"CLOSURE a, b ({_SPARSE})", f"WITH RECURSIVE e AS ({_SPARSE_SQL}), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a, b FROM c")
-_q("closure_reflexive_whole", f"({_SPARSE})* OVER (a, b)", f"WITH RECURSIVE e AS ({_SPARSE_SQL}), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a, b FROM c UNION SELECT a, a FROM e UNION SELECT b, b FROM e")
-_q("closure_from_whole", f"σ a = 3 (CLOSURE a, b ({_WHOLE}))", f"WITH RECURSIVE e AS ({_WHOLE_SQL}), c AS (SELECT a, b FROM e WHERE a = 3 UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a, b FROM c")
-_q("closure_undirected_whole", f"CLOSURE a ↔ b ({_SPARSE})", f"WITH RECURSIVE e0 AS ({_SPARSE_SQL}), e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a, b FROM c")
-_q("path_whole", f"PATH a, b HOPS 1 TO 3 AS depth ({_WHOLE})", f"WITH e AS ({_WHOLE_SQL}), d AS (SELECT a, b, 1 d FROM e UNION ALL SELECT x.a, y.b, 2 FROM e x JOIN e y ON x.b = y.a UNION ALL SELECT x.a, z.b, 3 FROM e x JOIN e y ON x.b = y.a JOIN e z ON y.b = z.a) SELECT a, b, min(d) AS depth FROM d GROUP BY a, b")
-_q("trace_whole", f"π a, b, w (TRACE a, b VIA w MINIMIZE AS path (π a, b, 1 + a % 5 → w ({_SPARSE})))")
-_q("fix_whole", f"FIX r (π a, b ({_SPARSE}), π r.a, e.b (r ⨝ r.b = e.a (ρ e ({_SPARSE}))))", f"WITH RECURSIVE e AS ({_SPARSE_SQL}), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a, b FROM c")
+_q("closure", f"CLOSURE a, b ({_SPARSE})", f"WITH RECURSIVE e AS ({_SPARSE_SQL}), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a, b FROM c")
+_q("closure_reflexive", f"({_SPARSE})* OVER (a, b)", f"WITH RECURSIVE e AS ({_SPARSE_SQL}), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a, b FROM c UNION SELECT a, a FROM e UNION SELECT b, b FROM e")
+_q("closure_from", f"σ a = 3 (CLOSURE a, b ({_WHOLE}))", f"WITH RECURSIVE e AS ({_WHOLE_SQL}), c AS (SELECT a, b FROM e WHERE a = 3 UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a, b FROM c")
+_q("closure_undirected", f"CLOSURE a ↔ b ({_SPARSE})", f"WITH RECURSIVE e0 AS ({_SPARSE_SQL}), e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a, b FROM c")
+_q("path", f"PATH a, b HOPS 1 TO 3 AS depth ({_WHOLE})", f"WITH e AS ({_WHOLE_SQL}), d AS (SELECT a, b, 1 d FROM e UNION ALL SELECT x.a, y.b, 2 FROM e x JOIN e y ON x.b = y.a UNION ALL SELECT x.a, z.b, 3 FROM e x JOIN e y ON x.b = y.a JOIN e z ON y.b = z.a) SELECT a, b, min(d) AS depth FROM d GROUP BY a, b")
+_q("trace", f"π a, b, w (TRACE a, b VIA w MINIMIZE AS path (π a, b, 1 + a % 5 → w ({_SPARSE})))")
+_q("fix", f"FIX r (π a, b ({_SPARSE}), π r.a, e.b (r ⨝ r.b = e.a (ρ e ({_SPARSE}))))", f"WITH RECURSIVE e AS ({_SPARSE_SQL}), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a, b FROM c")
 _q("iterate", "ITERATE x (π n_nationkey → k, n_regionkey → v (nation), π k, v * 2 + 1 → v (x)) ROUNDS 3", "SELECT n_nationkey AS k, n_regionkey * 8 + 7 AS v FROM nation")
 _q("iterate_stable", "ITERATE x (π n_nationkey → k, n_nationkey → v (nation), π k, IIf(v > 10, v - 7, v) → v (x)) UNTIL STABLE MAX 20 ROUNDS", "SELECT n_nationkey AS k, CASE WHEN n_nationkey > 10 THEN n_nationkey - 7 * CAST(ceil((n_nationkey - 10) / 7.0) AS INT) ELSE n_nationkey END AS v FROM nation")
 
@@ -203,6 +191,22 @@ _q("a_bool", "γ o_custkey, BOOL_AND(o_totalprice > 1000) → b, BOOL_OR(o_order
 _q("a_argmax", "γ o_custkey, ARGMAX(o_totalprice, o_orderkey) → hi, ARGMIN(o_totalprice, o_orderkey) → lo (orders)", "SELECT o_custkey, arg_max(o_orderkey, o_totalprice) AS hi, arg_min(o_orderkey, o_totalprice) AS lo FROM orders GROUP BY o_custkey")
 _q("a_collect", "π o_custkey, ARRAY_TO_STRING(k, ',') → k, s (γ o_custkey, COLLECT(o_orderkey ORDER BY o_orderkey DESC) → k, STRING_AGG(DISTINCT o_orderstatus, '/' ORDER BY o_orderstatus) → s (orders))", "SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey DESC) AS k, string_agg(DISTINCT o_orderstatus, '/' ORDER BY o_orderstatus) AS s FROM orders GROUP BY o_custkey")
 _q("a_filter", "γ o_custkey, COUNT(*) FILTER (WHERE o_orderstatus = 'F') → f, MAX(o_totalprice) FILTER (WHERE o_orderstatus = 'O') → m (orders)", "SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, max(o_totalprice) FILTER (WHERE o_orderstatus = 'O') AS m FROM orders GROUP BY o_custkey")
+# More functions
+_q("f_string_more", "π p_partkey, LCase(p_name) → lo, Trim(CONCAT('  ', p_brand, ' ')) → tr, LTrim(CONCAT(' ', p_brand, ' ')) → lt, RTrim(CONCAT(' ', p_brand, ' ')) → rt, RPAD(p_brand, 10, '.') → rp, CONCAT_WS('-', p_brand, NULL, p_size) → ws, INITCAP('two small-words') → ic, STRPOS(p_name, 'w') → sp, CHARINDEX('e', p_name) → ci, CHARINDEX('e', p_name, 4) → ci4, CHR(65 + p_size % 26) → ch, ASC(p_name) → ac, InStr(3, p_name, 'l') → i3, SUBSTRING(p_name, 3) → s3, RIGHT(p_type, 0) → none (part)", "SELECT p_partkey, lower(p_name) AS lo, p_brand AS tr, p_brand || ' ' AS lt, ' ' || p_brand AS rt, rpad(p_brand, 10, '.') AS rp, p_brand || '-' || p_size AS ws, 'Two Small-Words' AS ic, strpos(p_name, 'w') AS sp, instr(p_name, 'e') AS ci, CASE WHEN instr(substr(p_name, 4), 'e') = 0 THEN 0 ELSE instr(substr(p_name, 4), 'e') + 3 END AS ci4, chr((65 + p_size % 26)::INTEGER) AS ch, ascii(p_name) AS ac, CASE WHEN instr(substr(p_name, 3), 'l') = 0 THEN 0 ELSE instr(substr(p_name, 3), 'l') + 2 END AS i3, substr(p_name, 3) AS s3, '' AS none FROM part")
+_q("f_math_more", 'π c_custkey, ROUND(LOG10(c_custkey + 1), 6) → lg, ROUND(EXP(c_nationkey / 10), 6) → ex, ROUND(COS(c_custkey), 6) → co, ROUND(TAN(c_nationkey), 6) → ta, ROUND(ATN(c_custkey), 6) → at, ROUND(ASIN(c_nationkey / 25), 6) → asn, ROUND(ACOS(c_nationkey / 25), 6) → ac, ROUND(ATAN2(c_acctbal, c_nationkey), 6) → a2, ROUND(DEGREES(c_nationkey), 6) → dg, ROUND(RADIANS(c_nationkey), 6) → rd, ROUND(PI(), 6) → pi, POWER(c_nationkey, 2) → pw, RAND() >= 0 ∧ RAND() < 1 → rn, ROUND(LOG(2, c_custkey + 1), 6) → l2, TRUNC(c_acctbal) → tr (customer)', 'SELECT c_custkey, round(log10(c_custkey + 1), 6) AS lg, round(exp(c_nationkey / 10), 6) AS ex, round(cos(c_custkey), 6) AS co, round(tan(c_nationkey), 6) AS ta, round(atan(c_custkey), 6) AS at, round(asin(c_nationkey / 25), 6) AS asn, round(acos(c_nationkey / 25), 6) AS ac, round(atan2(c_acctbal, c_nationkey), 6) AS a2, round(degrees(c_nationkey), 6) AS dg, round(radians(c_nationkey), 6) AS rd, round(pi(), 6) AS pi, pow(c_nationkey, 2) AS pw, true AS rn, round(log2(c_custkey + 1), 6) AS l2, trunc(c_acctbal)::BIGINT AS tr FROM customer')
+_q("f_datetime_more", "π event_id, HOUR(ts) → h, MINUTE(ts) → mi, SECOND(ts) → s, ISOYEAR(ts) → iy, FLOOR(EPOCH(ts)) → ep, TIMEZONE('+02:00', ts) → tz, MAKE_DATE(2024, 1 + event_id % 12, 15) → md, ADD_MONTHS(MAKE_DATE(2024, 1, 31), event_id % 5) → am, DATE_ADD(ts, DURATION 'P2D') → da, DATE_SUB(ts, DURATION 'PT3H') → ds, DATEDIFF('hour', TIMESTAMP '2024-01-01T00:00:00Z', ts) → dh, DATEADD('minute', 5, ts) → d5, DATE_TRUNC('hour', ts) → th (events)", "SELECT event_id, hour(ts) AS h, minute(ts) AS mi, second(ts) AS s, isoyear(ts) AS iy, floor(epoch(ts)) AS ep, ts + INTERVAL 2 HOUR AS tz, make_date(2024, (1 + event_id % 12)::BIGINT, 15) AS md, last_day(DATE '2024-01-01' + to_months((event_id % 5)::INTEGER)) AS am, ts + INTERVAL 2 DAY AS da, ts - INTERVAL 3 HOUR AS ds, date_diff('hour', TIMESTAMP '2024-01-01', ts) AS dh, ts + INTERVAL 5 MINUTE AS d5, date_trunc('hour', ts) AS th FROM events")
+_q("f_durations", "π event_id, MINUTES(ts - TIMESTAMP '2024-01-01T00:00:00Z') → mi, SECONDS(ts - TIMESTAMP '2024-01-01T00:00:00Z') → se, DAYS(ts - TIMESTAMP '2024-01-01T00:00:00Z') → da, MINUTES(DURATION 'PT90M') → lit (events)", "SELECT event_id, floor(epoch_us(ts - TIMESTAMP '2024-01-01') / 60000000.0)::BIGINT AS mi, floor(epoch_us(ts - TIMESTAMP '2024-01-01') / 1000000.0)::BIGINT AS se, floor(epoch_us(ts - TIMESTAMP '2024-01-01') / 86400000000.0)::BIGINT AS da, 90 AS lit FROM events")
+_q("f_now", "π r_regionkey, NOW() > TIMESTAMP '2024-01-01T00:00:00Z' → n, CURRENT_DATE() > MAKE_DATE(2024, 1, 1) → d, Len(CURRENT_TIME()) → t, CURRENT_TIMESTAMP >= TIMESTAMP '2024-01-01T00:00:00Z' → c (region)", 'SELECT r_regionkey, true AS n, true AS d, 15 AS t, true AS c FROM region')
+_q("f_parse", "π o_orderkey, to_date(TO_CHAR(o_orderdate, 'YYYY-MM-DD')) → d, to_timestamp(TO_CHAR(o_orderdate, 'YYYY-MM-DD HH24:MI:SS')) → t, to_time('07:08:09') → ti, CDbl('2.5') → cd, TO_CHAR(o_orderdate, 'DD.MM.YYYY') → ch, TO_CHAR(o_custkey, 'FM99999') → num (orders)", "SELECT o_orderkey, o_orderdate::DATE AS d, o_orderdate AS t, '07:08:09.000000' AS ti, 2.5 AS cd, strftime(o_orderdate, '%d.%m.%Y') AS ch, o_custkey::VARCHAR AS num FROM orders")
+_q("f_conditional_more", "π o_orderkey, Nz(NULLIF(o_orderstatus, 'F'), 'none') → nz, Nz(NULLIF(o_orderstatus, 'F')) → ne, SWITCH(o_totalprice > 200000, 'big', o_totalprice > 100000, 'mid', 'low') → sw, SWITCH(o_orderstatus = 'F', 1) → s1, IsNull(NULLIF(o_orderstatus, 'F')) → isn, IsNumeric(o_orderpriority) → inu, IsNumeric('-1.5e3') → inv, CHOOSE(7, 'a', 'b') → no, COALESCE(NULL, o_orderstatus) → co (orders)", "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'F'), 'none') AS nz, coalesce(nullif(o_orderstatus, 'F'), '') AS ne, CASE WHEN o_totalprice > 200000 THEN 'big' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS sw, CASE WHEN o_orderstatus = 'F' THEN 1 END AS s1, o_orderstatus = 'F' AS isn, false AS inu, true AS inv, NULL::VARCHAR AS no, o_orderstatus AS co FROM orders")
+_q("f_hash_more", "π p_partkey, SHA2(p_name, 256) → a, HASHBYTES('MD5', p_name) → b, HASHBYTES('SHA1', p_name) → c, STANDARD_HASH(p_name, 'SHA256') → d, STANDARD_HASH(p_name) → e, Len(SHA2(p_name, 512)) → f (part)", 'SELECT p_partkey, sha256(p_name) AS a, md5(p_name) AS b, sha1(p_name) AS c, sha256(p_name) AS d, sha1(p_name) AS e, 128 AS f FROM part')
+_q("f_json_more", "π event_id, JSON_QUERY(props, '$') → q, JSON_QUERY(props, '$.k') → none, JSON_VALUE(props, '$') → whole, CAST(JSON_EXTRACT(props, '$.k') AS STRING) → x (events)", 'SELECT event_id, \'{"k":\' || json_extract_string(props, \'$.k\') || \'}\' AS q, NULL::VARCHAR AS none, NULL::VARCHAR AS whole, json_extract_string(props, \'$.k\') AS x FROM events')
+_q("f_regexp_more", "π p_partkey, REGEXP_SUBSTR(p_name, '[aeiou]+') → a, REGEXP_SUBSTR(p_name, '[aeiou]', 1, 2) → b, REGEXP_REPLACE(p_name, '[AEIOU]', '_', 'gi') → c, REGEXP_LIKE(p_name, '^[A-M]', 'i') → d (part)", "SELECT p_partkey, nullif(regexp_extract(p_name, '[aeiou]+'), '') AS a, regexp_extract_all(p_name, '[aeiou]')[2] AS b, regexp_replace(p_name, '[AEIOU]', '_', 'gi') AS c, regexp_matches(p_name, '^[A-M]', 'i') AS d FROM part")
+_q("f_similarity_more", "π a.n_name, b.r_name, ROUND(Trigram(a.n_name, b.r_name), 6) → tg, ROUND(EditSimilarity(a.n_name, b.r_name), 6) → es, SOUNDEX('Robert') → sx, SOUNDEX('Pfister') → sy ((ρ a (nation)) × (ρ b (region)))", "WITH g AS (SELECT n_name, r_name, list_distinct(list_transform(range(1, length(n_name) + 2), lambda i: substr('  ' || lower(n_name) || ' ', i, 3))) AS x, list_distinct(list_transform(range(1, length(r_name) + 2), lambda i: substr('  ' || lower(r_name) || ' ', i, 3))) AS y FROM nation, region) SELECT n_name, r_name, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS tg, round(1 - levenshtein(n_name, r_name) / greatest(length(n_name), length(r_name)), 6) AS es, 'R163' AS sx, 'P236' AS sy FROM g")
+_q("f_extract", 'π event_id, EXTRACT(YEAR FROM ts) → y, EXTRACT(MONTH FROM ts) → m, EXTRACT(DAY FROM ts) → d, EXTRACT(HOUR FROM ts) → h, EXTRACT(MINUTE FROM ts) → mi (events)', 'SELECT event_id, year(ts) AS y, month(ts) AS m, day(ts) AS d, hour(ts) AS h, minute(ts) AS mi FROM events')
+_q("f_at_time_zone", "π event_id, ts AT TIME ZONE '+02:00' → t (events)", 'SELECT event_id, ts + INTERVAL 2 HOUR AS t FROM events')
+_q("f_collate", "π p_partkey, p_name (σ p_name COLLATE UTF8_LCASE = 'COLD WIDGET' (part))", "SELECT p_partkey, p_name FROM part WHERE lower(p_name) = 'cold widget'")
+_q("f_parts", "π event_id, w.at → at, w.offset_s → off, g.months → months, tz.at → tz, tz.offset_s → tzo (π event_id, FROM_TZ(ts, '+02:00') → w, AGE(TIMESTAMP '2025-03-01T00:00:00Z', ts) → g, to_timestamptz('2024-05-06T07:08:09+02:00') → tz (events))", "SELECT event_id, ts - INTERVAL 2 HOUR AS at, 7200 AS off, datesub('month', ts, TIMESTAMP '2025-03-01') AS months, TIMESTAMP '2024-05-06 05:08:09' AS tz, 7200 AS tzo FROM events")
 
 
 # Scripts, sources, provenance, streams ---------------------------------------------------
@@ -255,7 +259,7 @@ def _primes(s: Session, sf_dir: str) -> DataFrame:
     return s.relation("σ n < 1000 (P)").df
 
 
-@_other("catalog")
+@_other("catalog", "SELECT * FROM (VALUES ('Big'), ('orders')) t(name)")
 def _catalog(s: Session, sf_dir: str) -> DataFrame:
     s.define("Big", "σ o_totalprice > 100000 (orders)")
     s.define("Counted", "γ o_custkey, COUNT(*) → n (Big)")
@@ -291,8 +295,111 @@ def _tumbling(s: Session, sf_dir: str) -> DataFrame:
     return drained(tumbling(_stream(s, sf_dir), "ts", "6 hours", [F.count(F.lit(1)).alias("n")], ("event_type",)))
 
 
+@_other("stream_sliding", "SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts) - to_hours(6 * i) AS bucket, count(*) AS n FROM events, (VALUES (0), (1)) t(i) GROUP BY ALL")
+def _sliding(s: Session, sf_dir: str) -> DataFrame:
+    from tessera.streaming.windows import drained, tumbling
+
+    return drained(tumbling(_stream(s, sf_dir), "ts", "12 hours", [F.count(F.lit(1)).alias("n")], ("event_type",), slide="6 hours"))
+
+
 @_other("stream_sessions", "SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM (SELECT *, sum(CASE WHEN gap > INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events)) GROUP BY user_id, k")
 def _sessions(s: Session, sf_dir: str) -> DataFrame:
     from tessera.streaming.windows import drained, sessions
 
     return drained(sessions(_stream(s, sf_dir), "ts", "6 hours", [F.count(F.lit(1)).alias("n")], ("user_id",)))
+
+
+# Invariants of what has more than one right answer, and parts of nested results ------------
+_q("tree_sizes", "π k, CARDINALITY(children) → n (TREE k BY p AS children ((π n_nationkey + 100 → k, n_regionkey → p (nation)) ⊎ (π r_regionkey → k, NULLIF(r_regionkey, r_regionkey) (region))))", "SELECT r_regionkey AS k, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS n FROM region")
+_q("tree_children", "π k, children.k → child (UNNEST children (TREE k BY p AS children ((π n_nationkey + 100 → k, n_regionkey → p (nation)) ⊎ (π r_regionkey → k, NULLIF(r_regionkey, r_regionkey) (region)))))", "SELECT n_regionkey AS k, n_nationkey + 100 AS child FROM nation")
+_TRIPLES = "δ (π o_orderstatus, o_orderpriority, l_returnflag (orders ⨝ o_orderkey = l_orderkey (lineitem)))"
+for _i, (_x, _y) in enumerate((("o_orderstatus", "o_orderpriority"), ("o_orderstatus", "l_returnflag"), ("o_orderpriority", "l_returnflag"))):
+    _q(f"cover_pairs_{_i + 1}", f"δ (π {_x}, {_y} (COVER 2 ({_TRIPLES})))", f"SELECT DISTINCT {_x}, {_y} FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+_q("cover_is_of_the_input", f"(COVER 2 ({_TRIPLES})) − ({_TRIPLES})", "SELECT o_orderstatus, o_orderpriority, l_returnflag FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE false")
+_q("sample_all", "SAMPLE 1 SEED 7 (nation)", "SELECT * FROM nation")
+_q("sample_share", "π w (σ n > 0.08 * t ∧ n < 0.12 * t ((π n, 1 → w (γ COUNT(*) → n (SAMPLE 0.1 SEED 7 (lineitem)))) × (γ COUNT(*) → t (lineitem))))", "SELECT 1 AS w")
+_q("sample_is_of_the_input", "(SAMPLE 0.1 SEED 7 (orders)) − (orders)", "SELECT * FROM orders WHERE false")
+_q("sample_rows_once", "γ COUNT(*) → n, COUNT(DISTINCT o_orderkey) → k (SAMPLE 100 ROWS SEED 7 (orders))", "SELECT 100 AS n, 100 AS k")
+# Sets of rows by enumeration: the best sum, then the fewest rows, then the earliest.
+ALGEBRA["optimize"] = ALGEBRA["optimize"][0], """
+WITH r AS (SELECT n_regionkey AS g, n_nationkey AS k, 10 + (n_nationkey * 7) % 13 AS v, 15 + (n_nationkey * 5) % 11 AS w, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i FROM nation),
+m AS (SELECT DISTINCT g, range AS mask FROM r, range(32)),
+f AS (SELECT m.g, mask, coalesce(sum(v), 0) AS v, coalesce(sum(w), 0) AS w, count(k) AS n, coalesce(string_agg(i, ',' ORDER BY i), '') AS places FROM m LEFT JOIN r ON r.g = m.g AND (mask >> i) & 1 = 1 GROUP BY m.g, mask),
+b AS (SELECT g, mask FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY v DESC, n, places) AS o FROM f WHERE w <= 60) WHERE o = 1)
+SELECT r.g, r.k, r.v, r.w FROM r JOIN b ON r.g = b.g AND (mask >> i) & 1 = 1
+"""
+
+
+@_other("why_terms", "SELECT r_name, 'nation' AS relation, n_nationkey AS k FROM region JOIN nation ON r_regionkey = n_regionkey UNION ALL SELECT r_name, 'region', r_regionkey FROM region JOIN nation ON r_regionkey = n_regionkey")
+def _why(s: Session, sf_dir: str) -> DataFrame:
+    df = s.relation("WHY (π r_name (region ⨝ r_regionkey = n_regionkey (nation)))").df
+    terms = df.select("r_name", F.explode("provenance").alias("t")).select("r_name", F.explode("t.variables").alias("v"))
+    key = F.coalesce(F.get_json_object("v.columns", "$.n_nationkey"), F.get_json_object("v.columns", "$.r_regionkey"))
+    return terms.select("r_name", F.col("v.relation").alias("relation"), key.cast("int").alias("k"))
+
+
+@_other("provenance_boolean", "SELECT DISTINCT r_name, true AS provenance FROM region JOIN nation ON r_regionkey = n_regionkey")
+def _boolean(s: Session, sf_dir: str) -> DataFrame:
+    return s.relation("π r_name (region ⨝ r_regionkey = n_regionkey (nation))").provenance("boolean")
+
+
+@_other("provenance_security", "SELECT p_type, min(CASE p_brand WHEN 'Brand#1' THEN 0 WHEN 'Brand#2' THEN 1 WHEN 'Brand#3' THEN 2 ELSE 3 END) AS provenance FROM part GROUP BY p_type")
+def _security(s: Session, sf_dir: str) -> DataFrame:
+    from tessera.operators.provenance import Security
+
+    return s.relation("π p_type (part)").provenance(Security(("Brand#1", "Brand#2", "Brand#3", "Brand#4"), "p_brand"))
+
+
+@_other("provenance_routes", "WITH w AS (SELECT o_custkey, min(o_totalprice) AS cost FROM orders GROUP BY o_custkey) SELECT o_custkey, cost, (SELECT count(*) FROM orders o WHERE o.o_custkey = w.o_custkey AND o_totalprice = cost) AS ways FROM w")
+def _routes(s: Session, sf_dir: str) -> DataFrame:
+    from tessera.operators.provenance import Routes
+
+    df = s.relation("π o_custkey (orders)").provenance(Routes("o_totalprice"))
+    return df.select("o_custkey", F.col("provenance.cost").alias("cost"), F.size("provenance.routes").alias("ways"))
+
+
+@_other("provenance_lineage", "SELECT r_name, count(*) AS terms FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name")
+def _lineage(s: Session, sf_dir: str) -> DataFrame:
+    df = s.relation("π r_name (region ⨝ r_regionkey = n_regionkey (nation))").provenance("lineage")
+    return df.select("r_name", F.size("provenance").alias("terms"))
+
+
+def _written(s: Session, df: DataFrame, kind: str, **options) -> str:
+    """A folder of text files that a source reads back, in the shared folder."""
+    import uuid
+
+    from tessera.operators.components import checkpoint_dir
+
+    path = f"{checkpoint_dir(s.spark)}/tessera-{uuid.uuid4().hex}.{kind}"
+    df.write.options(**options).format({"csv": "csv", "tsv": "csv", "jsonl": "json", "log": "text"}[kind]).save(path)
+    return path
+
+
+@_other("source_csv", "SELECT p_partkey, p_name, p_brand, p_type, p_size FROM part WHERE p_size > 10")
+def _csv(s: Session, sf_dir: str) -> DataFrame:
+    path = _written(s, s.spark.read.parquet(f"{sf_dir}/part.parquet").drop("p_retailprice"), "csv", header=True)
+    return s.input("Parts", path, kind="csv").relation("σ p_size > 10 (Parts)").df
+
+
+@_other("source_tsv_declared", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def _tsv(s: Session, sf_dir: str) -> DataFrame:
+    path = _written(s, s.spark.read.parquet(f"{sf_dir}/nation.parquet"), "tsv", header=True, sep="\t")
+    return s.input("Nations", path, kind="tsv", schema={"n_nationkey": "NUMBER", "n_name": "STRING", "n_regionkey": "NUMBER"}).relation("Nations").df
+
+
+@_other("source_jsonl", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey")
+def _jsonl(s: Session, sf_dir: str) -> DataFrame:
+    path = _written(s, s.spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey"), "jsonl")
+    return s.input("Orders", path, kind="jsonl").relation("γ o_custkey, COUNT(*) → n (Orders)").df
+
+
+@_other("source_log", "SELECT '10.0.0.' || user_id AS host, count(*) AS n, max(date_trunc('second', ts)) AS last FROM events GROUP BY ALL")
+def _log(s: Session, sf_dir: str) -> DataFrame:
+    events = s.spark.read.parquet(f"{sf_dir}/events.parquet")
+    line = F.format_string('10.0.0.%d - - [%s +0000] "GET /%s HTTP/1.1" 200 17', "user_id", F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), "event_type")
+    folder, _, name = _written(s, events.select(line.alias("value")), "log").rpartition("/")
+    s.script(f'connection logs from log {{ path: "{folder}", format: "common" }}; source A from logs {{ table: "{name}", schema: {{ host: STRING, at: TIMESTAMP, status: NUMBER }} }};')
+    return s.relation("γ host, COUNT(*) → n, MAX(at) → last (A)").df
+
+
+_q("f_entries", "π event_id, CARDINALITY(ENTRIES(FROM_TZ(ts, '+02:00'))) → n (events)", "SELECT event_id, 2 AS n FROM events")

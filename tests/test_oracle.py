@@ -60,6 +60,6 @@ def test_whole_graphs_reach_every_user(spark, con):
             at = step[at]
             if at not in seen:
                 wanted.add((a, at, w))
-    got = {(r.a, r.b, r.w) for r in core.queries()["trace_whole"](spark, SF).collect()}
+    got = {(r.a, r.b, r.w) for r in core.queries()["trace"](spark, SF).collect()}
     assert {g for g in got if g[0] != g[1]} == wanted
-    assert {r.a for r in core.queries()["closure_whole"](spark, SF).collect()} == users
+    assert {r.a for r in core.queries()["closure"](spark, SF).collect()} == users
