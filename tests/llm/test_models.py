@@ -7,15 +7,25 @@ from llm_cases import ODD, SF, collected, documents
 from tessera.llm import extract, langid, pii, queries, toxicity
 
 
-@pytest.mark.xfail(reason="0.71 and 0.71 with the labels of 1,000 documents (51 toxic)", strict=True)
-def test_toxicity_on_held_out_rows(spark):
-    sf = SF.replace("0.001", "0.01")
+def held_out_toxicity(spark, sf):
     got = collected(queries.op1_toxicity(spark, sf))
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got.values())
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     held = [(got[i], y) for i, y in labels.items() if i in got and got[i]["held_out"]]
     hits = sum(r["predicted"] == 1 == y for r, y in held)
-    assert hits and hits / max(1, sum(r["predicted"] for r, _ in held)) > 0.8 and hits / max(1, sum(y for _, y in held)) > 0.8
-    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got.values())
+    return hits / max(1, sum(r["predicted"] for r, _ in held)), hits / max(1, sum(y for _, y in held))
+
+
+@pytest.mark.xfail(reason="1.00 and 0.64 (9 of 14 rows) with the labels of 1,000 documents (37 toxic ones to learn from)", strict=True)
+def test_toxicity_on_held_out_rows(spark):
+    precision, recall = held_out_toxicity(spark, SF.replace("0.001", "0.01"))
+    assert precision > 0.8 and recall > 0.8
+
+
+def test_toxicity_on_held_out_rows_of_more_documents(spark):
+    precision, recall = held_out_toxicity(spark, SF.replace("0.001", "0.1"))
+    print(precision, recall)
+    assert precision > 0.8 and recall > 0.8
 
 
 def test_toxicity_of_odd_texts_and_without_labels(spark):
@@ -89,7 +99,6 @@ def test_personal_data(spark):
         assert base == sorted(pii.base_spans(t or ""))
 
 
-@pytest.mark.xfail(reason="the network misses a short user and host spelt out", strict=True)
 def test_a_short_address_spelt_out():
     text = "mail bob [at] corp [dot] com please"
     assert [pii.KINDS[k] for k, *_ in pii.find([text], pii.trained())[0]] == ["email"]
