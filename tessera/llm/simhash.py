@@ -240,8 +240,8 @@ def links(prints: DataFrame, max_bits: int = 3) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 3, max_bits: int = 3) -> DataFrame:
-    """``doc_id, fp bigint, component_id``: the smallest id reachable over
+def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 3, max_bits: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, keep, fp bigint, component_id``: the smallest id reachable over
     fingerprints that differ in at most ``max_bits`` bits, itself included.
 
     Equal fingerprints are linked (so are all null and empty texts, whose
@@ -249,9 +249,9 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     with a null id link nothing, and take the component of their
     fingerprint's other documents, else null.  Repeated rows stay.
     """
-    prints = cut(fingerprints(df.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")), width=width))
+    prints = cut(fingerprints(df.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"), *keep), keep=("doc_id", *keep), width=width))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     found = links(distinct.where("rep is not null"), max_bits)
     of = components(found, "a", "b")
     classes = distinct.join(of, distinct.rep == of.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(classes, "fp").select("doc_id", *keep, "fp", "component_id")
