@@ -53,9 +53,40 @@ def build(lo, a: ir.Agg, s: Scope, outer=()) -> Column:
         return F.get(sorted_, F.greatest(F.ceil(F.size(sorted_) * F.lit(float(fraction))).cast("int") - 1, F.lit(0)))
     if a.func in ("COLLECT", "STRING_AGG"):
         return _collected(lo, a, args, s, outer, keep)
+    own = lo.session.aggregates.get(a.func.lower())
+    if own is not None:
+        return own(*args)
     raise AlgebraError(f"no aggregate {a.func}")
 
 
+def folded(create, accumulate, finish, returns: str):
+    """An aggregate from Python: ``create()`` a state, ``accumulate(state,
+    *values)`` each row to the next state, ``finish(state)`` to the value of
+    type ``returns``.  Rows come in no order; NULLs are None.
+
+    A group's values meet in one row, as with COLLECT.  What built-in
+    aggregates can express should be a builder of columns instead: that has
+    partial sums before the shuffle.
+    """
+
+    def build_(*args: Column) -> Column:
+        import pandas as pd
+
+        def run(rows):
+            out = []
+            for group in rows:
+                state = create()
+                for r in group:
+                    state = accumulate(state, *r.values()) if isinstance(r, dict) else accumulate(state, *r)
+                out.append(finish(state))
+            return pd.Series(out, dtype="object")
+
+        run.__annotations__ = {"rows": pd.Series, "return": pd.Series}  # how Spark tells the kind
+        return F.pandas_udf(run, returns)(F.collect_list(F.struct(*[x.alias(f"v{i}") for i, x in enumerate(args)])))
+
+    return build_
+
+
 def average(x: Column, t: T.DataType, distinct: bool = False) -> Column:
     """Exact numbers to ten places, halves away from zero; doubles as they are."""
     if isinstance(t, (T.DoubleType, T.FloatType)):

@@ -182,118 +182,165 @@ def _solve(lo: Lowering, n: ir.Solve, outer) -> Scope:
 
 
 # Choices --------------------------------------------------------------------------
+#: Pivots of one linear program, and programs of one choice, at most: beyond
+#: them there is an error, never a wrong or a missing answer.
+PIVOTS, NODES = 50_000, 200_000
+
+
 def simplex(cost: np.ndarray, a: np.ndarray, b: np.ndarray, kinds: list[str], lo: np.ndarray, hi: np.ndarray) -> tuple[float, np.ndarray] | None:
-    """Minimises cost x under rows of ``a`` and bounds; None if infeasible."""
-    n = len(cost)
-    rows, rhs, ops = [*a], [*(b - a @ lo)], list(kinds)
-    for i in range(n):
-        if np.isfinite(hi[i]):
-            e = np.zeros(n)
-            e[i] = 1
-            rows.append(e)
-            rhs.append(hi[i] - lo[i])
-            ops.append("<=")
-    m = len(rows)
-    table = np.zeros((m, n + 2 * m + 1))
-    basis, art = [], []
-    for i, (r, q, k) in enumerate(zip(rows, rhs, ops)):
-        r = np.array(r, float)
+    """Minimises cost x under rows of ``a`` and bounds; None if infeasible or
+    without a bound.  The bounds are no rows: a variable stands at either of
+    its ends (``turned``: it is counted down from the upper one)."""
+    n, m = len(cost), len(kinds)
+    if (hi < lo).any():
+        return None
+    size = n + 2 * m  # variables, slacks, artificial ones
+    table, upper = np.zeros((m, size + 1)), np.full(size, np.inf)
+    upper[:n] = hi - lo
+    basis, art = np.zeros(m, int), []
+    for i, k in enumerate(kinds):
+        r, q = np.array(a[i], float), float(b[i] - a[i] @ lo)
         if q < 0:
             r, q, k = -r, -q, {"<=": ">=", ">=": "<=", "=": "="}[k]
         table[i, :n], table[i, -1] = r, q
-        if k == "<=":
-            table[i, n + i] = 1
-            basis.append(n + i)
-        else:
-            if k == ">=":
-                table[i, n + i] = -1
+        if k != "=":
+            table[i, n + i] = 1 if k == "<=" else -1
+        basis[i] = n + i if k == "<=" else n + m + i
+        if k != "<=":
             table[i, n + m + i] = 1
-            basis.append(n + m + i)
             art.append(n + m + i)
+    turned = np.zeros(size, bool)
 
-    def run(obj: np.ndarray, allowed: int) -> float | None:
-        z = obj.copy()
+    def run(obj: np.ndarray, allowed: int) -> bool:
+        z = np.append(np.where(turned, -obj, obj), 0.0)
         for i, v in enumerate(basis):
             if z[v]:
                 z -= z[v] * table[i]
-        for _ in range(20_000):
-            enter = next((j for j in range(allowed) if z[j] < -1e-9), None)
-            if enter is None:
-                return -z[-1]
-            col = table[:, enter]
-            good = np.flatnonzero(col > 1e-9)
-            if not len(good):
-                return None
-            ratios = table[good, -1] / col[good]
-            least = good[ratios <= ratios.min() + 1e-12]
-            i = min(least, key=lambda k: basis[k])
-            table[i] /= table[i, enter]
-            for k in range(m):
-                if k != i and table[k, enter]:
-                    table[k] -= table[k, enter] * table[i]
-            z -= z[enter] * table[i]
-            basis[i] = enter
-        return None
+        for step in range(PIVOTS):
+            free = np.flatnonzero((z[:allowed] < -1e-9) & (upper[:allowed] > 0))
+            if not len(free):
+                return True
+            j = int(free[0] if step > 2000 else free[z[free].argmin()])  # the first in order cannot go in circles
+            col = table[:, j]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                down = np.where(col > 1e-9, table[:, -1] / col, np.inf)
+                up = np.where(col < -1e-9, (upper[basis] - table[:, -1]) / -col, np.inf)
+            room = np.minimum(down, up)
+            least = room.min() if m else np.inf
+            if upper[j] <= least:
+                if not np.isfinite(upper[j]):
+                    return False
+                table[:, -1] -= col * upper[j]
+                table[:, j] = -col
+                z[-1] -= z[j] * upper[j]
+                z[j] = -z[j]
+                turned[j] ^= True
+                continue
+            rows = np.flatnonzero(room <= least + 1e-12)
+            i = int(rows[basis[rows].argmin()])
+            if up[i] < down[i]:  # leaves at its upper end
+                v = basis[i]
+                table[i] = -table[i]
+                table[i, v], table[i, -1] = 1, upper[v] + table[i, -1]
+                turned[v] ^= True
+            table[i] /= table[i, j]
+            others = table[:, j].copy()
+            others[i] = 0
+            table[:] -= np.outer(others, table[i])
+            z -= z[j] * table[i]
+            basis[i] = j
+        raise AlgebraError("OPTIMIZE is undecided: too many steps")
+
+    def values() -> np.ndarray:
+        x = np.zeros(size)
+        x[basis] = table[:, -1]
+        x[turned] = upper[turned] - x[turned]
+        return x
 
     if art:
-        first = np.zeros(table.shape[1])
+        first = np.zeros(size)
         first[art] = 1
-        got = run(first, n + 2 * m)
-        if got is None or got > 1e-7:
+        if not run(first, n + m) or values()[art].sum() > 1e-7:
             return None
-    last = np.zeros(table.shape[1])
+        upper[art] = 0
+    last = np.zeros(size)
     last[:n] = cost
-    got = run(last, n + m)
-    if got is None:
+    if not run(last, n + m):
         return None
-    x = np.zeros(n)
-    for i, v in enumerate(basis):
-        if v < n:
-            x[v] = table[i, -1]
-    return float(got + cost @ lo), x + lo
+    x = values()[:n] + lo
+    return float(cost @ x), x
 
 
-def choose(gain: np.ndarray, a: np.ndarray, b: np.ndarray, kinds: list[str], nodes: int = 200_000) -> np.ndarray | None:
+def choose(gain: np.ndarray, a: np.ndarray, b: np.ndarray, kinds: list[str], nodes: int = NODES) -> np.ndarray | None:
     """The rows with the largest sum of gains; of equal ones the fewest, then
-    the earliest.  Branch and bound on the linear relaxation."""
+    the earliest, at any number of rows.  Branch and bound on the linear
+    relaxation: for the sum, for the count under that sum, and for each row in
+    order whether it can be taken under both."""
     n = len(gain)
-    best: list = [None, -np.inf, None]
     left = [nodes]
 
-    def rank(x):
-        at = np.flatnonzero(x)
-        return len(at), tuple(at)
+    def best(gain: np.ndarray, a: np.ndarray, b: np.ndarray, kinds: list[str], lo: np.ndarray, hi: np.ndarray, any_: bool = False) -> np.ndarray | None:
+        found, value, open_ = None, -np.inf, [(lo, hi)]
+        while open_:
+            lo, hi = open_.pop()
+            left[0] -= 1
+            if left[0] < 0:
+                raise AlgebraError("OPTIMIZE is undecided: too many choices")
+            got = simplex(-gain, a, b, kinds, lo, hi)
+            if got is None or -got[0] <= value + 1e-9 * max(1.0, abs(value)) and found is not None:
+                continue
+            x = got[1]
+            part = np.flatnonzero(np.abs(x - np.rint(x)) > 1e-7)
+            if not len(part):
+                found = np.rint(x).astype(int)
+                value = float(gain @ found)
+                if any_:
+                    return found
+                continue
+            i = int(part[np.argmax(np.abs(x[part] - 0.5) * -1 + 1e-9 * np.abs(gain[part]))])
+            for v in (0, 1):  # the last is tried first
+                l, h = lo.copy(), hi.copy()
+                l[i] = h[i] = v
+                open_.append((l, h))
+        return found
+
+    lo, hi = np.zeros(n), np.ones(n)
+    x = best(gain, a, b, kinds, lo, hi)
+    if x is None:
+        return None
+    sum_ = float(gain @ x)
+    a, b, kinds = np.vstack([a.reshape(len(kinds), n), gain]), np.append(b, sum_ - 1e-9 * max(1.0, abs(sum_))), [*kinds, ">="]
+    fewest = best(-np.ones(n), a, b, kinds, lo, hi)
+    x = x if fewest is None else fewest
+    a, b, kinds = np.vstack([a, np.ones(n)]), np.append(b, x.sum()), [*kinds, "<="]
+    for i in range(n):
+        if lo.sum() == x.sum():
+            break
+        if not x[i]:
+            lo[i] = 1
+            other = best(np.zeros(n), a, b, kinds, lo, hi, any_=True)
+            lo[i] = 0
+            if other is None:
+                hi[i] = 0
+                continue
+            x = other
+        lo[i] = 1
+    return x
+
 
-    def visit(fixed: dict[int, int]):
-        left[0] -= 1
-        if left[0] < 0:
-            raise AlgebraError("OPTIMIZE is undecided")
-        lo, hi = np.zeros(n), np.ones(n)
-        for i, v in fixed.items():
-            lo[i] = hi[i] = v
-        # rows cost next to nothing, earlier ones less: ties fall as documented
-        got = simplex(-gain, a, b, kinds, lo, hi)
-        if got is None or -got[0] < best[1] - 1e-9:
-            return
-        x = got[1]
-        part = np.flatnonzero(np.abs(x - np.rint(x)) > 1e-7)
-        if len(part):
-            i = int(part[np.argmax(np.abs(x[part] * gain[part]))])
-            for v in (1, 0):
-                visit({**fixed, i: v})
-            return
-        x = np.rint(x).astype(int)
-        value = float(gain @ x)
-        if value > best[1] + 1e-9 or abs(value - best[1]) <= 1e-9 and (best[0] is None or rank(x) < rank(best[0])):
-            best[0], best[1] = x, max(value, best[1])
-        # other optima may be smaller or earlier
-        for i in range(n):
-            if i not in fixed and x[i] == 1 and n <= 24:
-                visit({**fixed, **{j: int(x[j]) for j in range(i) if j not in fixed}, i: 0})
-        return
+class Solver:
+    """What OPTIMIZE asks for each group.  A session's ``solver`` may be any
+    object with these two methods that Python workers can unpickle."""
+
+    def choose(self, gain: np.ndarray, a: np.ndarray, b: np.ndarray, kinds: list[str]) -> np.ndarray | None:
+        """0 or 1 for each row: the best sum of gains under rows of ``a``
+        (``a x`` is ``kinds`` than ``b``), or None."""
+        return choose(gain, a, b, kinds)
 
-    visit({})
-    return best[0]
+    def weights(self, cost: np.ndarray, a: np.ndarray, b: np.ndarray, kinds: list[str], lo: np.ndarray, hi: np.ndarray) -> np.ndarray | None:
+        """The weights within bounds that cost least, or None."""
+        got = simplex(cost, a, b, kinds, lo, hi)
+        return None if got is None else got[1]
 
 
 @handles(ir.Optimize)
@@ -311,6 +358,7 @@ def _optimize(lo: Lowering, n: ir.Optimize, outer) -> Scope:
     weight = Column(fresh(n.name), n.name) if n.name else None
     cols = (*s.cols, weight) if weight else s.cols
     schema = T.StructType([*[work.schema[x.id] for x in s.cols], *([T.StructField(weight.id, T.DoubleType())] if weight else [])])
+    solver = lo.session.solver
     bounds, maximize, ids, added = n.bounds, n.maximize, [x.id for x in s.cols], weight.id if weight else None
 
     def group(pdf):
@@ -320,14 +368,14 @@ def _optimize(lo: Lowering, n: ir.Optimize, outer) -> Scope:
         g = some["__g"].to_numpy() * (1 if maximize else -1)
         a = some[names[1:]].to_numpy().T.reshape(len(kinds), -1)
         if bounds is None:
-            x = choose(g, a, limits, kinds)
+            x = solver.choose(g, a, limits, kinds)
             return (some[x == 1] if x is not None else some[:0])[ids]
-        got = simplex(-g, a, limits, kinds, np.full(len(g), bounds[0]), np.full(len(g), bounds[1]))
+        got = solver.weights(-g, a, limits, kinds, np.full(len(g), bounds[0], float), np.full(len(g), bounds[1], float))
         out = pdf[ids].copy()
         out[added] = np.nan
         if got is None:
             return out[:0]
-        out.loc[fit_, added] = np.round(got[1], 10)
+        out.loc[fit_, added] = np.round(got, 10)
         return out
 
     return Scope(work.groupBy(*per).applyInPandas(group, schema), cols)

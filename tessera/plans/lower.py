@@ -478,6 +478,15 @@ def _limit(lo: Lowering, n: ir.Limit, outer) -> Scope:
 @handles(ir.Group)
 def _group(lo: Lowering, n: ir.Group, outer) -> Scope:
     s = lo.finite(n.input, outer)
+    # Calls of aggregates that the host registered read like keys; their
+    # columns come before those of built-in ones.
+    own = [k for k in n.keys if isinstance(k[0], ir.Call) and k[0].name.lower() in lo.session.aggregates]
+    if own and n.sets is not None:
+        raise AlgebraError("an aggregate of the host's own takes one set of keys")
+    if not own and not n.aggs:
+        raise AlgebraError("expected an aggregate")
+    if own:
+        n = replace(n, keys=tuple(k for k in n.keys if k not in own), aggs=(*[ir.Agg(e.name, e.args, False, (), None, given) for e, given in own], *n.aggs))
     keys = [(lo.value(e, s, outer), output_name(e, given, i), e) for i, (e, given) in enumerate(n.keys)]
     cols = [Column(fresh(name), name, s.find(e.parts)[0].quals if isinstance(e, ir.Ref) and s.find(e.parts) else frozenset()) for _, name, e in keys]
     work = s.df.withColumns({k.id: v for k, (v, _, _) in zip(cols, keys)}) if keys else s.df

@@ -66,6 +66,12 @@ class Session:
         self.relations: dict[str, Named] = {}
         self.functions: dict[str, tuple] = {}  # scalar definitions
         self.builders: dict[str, Callable] = {}  # columns from columns
+        self.aggregates: dict[str, Callable] = {}  # aggregates from columns
+        self.connectors: dict[str, Callable] = {}  # kinds of connection
+        self.generators: dict[str, Callable] = {}  # names of generators
+        from tessera.operators import search  # which needs the handlers that come with lowering
+
+        self.solver = search.Solver()
         self.tables: dict[str, tuple] = {}  # table-valued functions
         self.connections: dict[str, dict] = {}
         self.edges: list[tuple] = []
@@ -115,6 +121,33 @@ class Session:
         self.builders[name.lower()] = builder
         return self
 
+    def aggregate(self, name: str, builder: Callable) -> Session:
+        """An aggregate that makes a column from columns: of built-in
+        aggregates, or ``aggregates.folded`` of Python functions.  GROUP calls
+        it as ``γ key, name(x) → y (R)``."""
+        self.aggregates[name.lower()] = builder
+        return self
+
+    def library(self, functions: dict[str, Callable] | None = None, aggregates: dict[str, Callable] | None = None) -> Session:
+        """Many functions and aggregates at once."""
+        for name, builder in (functions or {}).items():
+            self.function(name, builder)
+        for name, builder in (aggregates or {}).items():
+            self.aggregate(name, builder)
+        return self
+
+    def connector(self, kind: str, read: Callable[..., DataFrame]) -> Session:
+        """A kind of connection for scripts: ``read(spark, options, table,
+        schema)`` makes a DataFrame (of a Python data source, say, whose
+        filters and columns Spark then pushes)."""
+        self.connectors[kind.lower()] = read
+        return self
+
+    def generator(self, name: str, make: Callable[..., DataFrame]) -> Session:
+        """A generator for scripts: ``make(spark, options)``."""
+        self.generators[name.lower()] = make
+        return self
+
     def table_function(self, name: str, make: Callable[..., DataFrame]) -> Session:
         self.tables[name.lower()] = ((), make)
         return self
@@ -383,9 +416,11 @@ class Session:
             for k in ("url", "table", "schema"):
                 if k not in o:
                     raise AlgebraError(f"the source {st.name} has a {k}")
-            make = lambda: jdbc.read(self.spark, {"url": self.fill(o["url"])}, o["table"], o["schema"])
+            make = lambda: jdbc.read(self.spark, {"url": self.fill(o["url"]), **{k: o[k] for k in jdbc.SPLIT if k in o}}, o["table"], o["schema"])
         elif kind == "generator":
-            made = generators.make(self.spark, {k: v for k, v in o.items() if k != "from"})
+            own = self.generators.get(str(next((v for k, v in o.items() if k.lower() == "name"), "")).lower())
+            options = {k: v for k, v in o.items() if k != "from"}
+            made = Scope.of(own(self.spark, options)) if own else generators.make(self.spark, options)
             self._put(Named(st.name, "SRC", make=lambda: made, endless=made.endless is not None, private=base if st.private else None))
             return
         elif o["from"] in self.connections:
@@ -400,7 +435,7 @@ class Session:
         o = self._filled({k: v for k, v in options.items() if k != "base"})
         if "path" in o:
             o["path"] = self._at(options["base"], o["path"])
-        readers = {"jdbc": jdbc.read, "log": logs.read, "gedcom": gedcom.read, "mongodb": mongodb.read}
+        readers = {"jdbc": jdbc.read, "log": logs.read, "gedcom": gedcom.read, "mongodb": mongodb.read, **self.connectors}
         if o["from"] == "csv":
             path = o["path"] if o["path"].endswith(table) else os.path.join(o["path"], table)
             return files.read_csv(self.spark, path, {"schema": schema})
