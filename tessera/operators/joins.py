@@ -4,6 +4,7 @@ that they, too, are equi-joins or windows."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import replace
 
 from pyspark.sql import Window
@@ -105,14 +106,35 @@ def _lateral(lo: Lowering, n: ir.Lateral, outer) -> Scope:
 
 
 # Similarity --------------------------------------------------------------------
+#: Share of rows from which a token counts as common.
+COMMON = 0.01
+
+
+def _tokens(x, of):
+    """The pieces of a text, each with how often it stood before: a set."""
+    pieces = of(x)
+    return F.transform(pieces, lambda g, i: F.concat(g, F.lit("\x01"), F.size(F.filter(F.slice(pieces, F.lit(1), i), lambda h: h == g)).cast("string")))
+
+
+def _trigrams(x):
+    padded = F.concat(F.lit("  "), F.lower(x), F.lit(" "))
+    return F.transform(F.sequence(F.lit(1), F.char_length(padded) - 2), lambda i: F.substr(padded, i, F.lit(3)))
+
+
+def _letters(x):
+    return F.filter(F.split(x, ""), lambda ch: ch != "")
+
+
 def _similarity(p: ir.Expr, left: Scope, right: Scope):
     """A plan for joins on a similarity of two columns: rows meet on what any
     pair that passes must share, and the whole condition is checked there.
 
-    EditSimilarity(a, b) >= t: lengths within a factor t, by a band of
-    lengths on one side.  Levenshtein(a, b) <= k: lengths within k.
-    Trigram(a, b) >= t: a common trigram among the first of each, in one
-    order (as many as a pair that passes cannot all miss).
+    The pieces of a text are put in one order, the common ones last; a pair
+    that passes shares one of the first of each, as many as cannot all be
+    missed.  Trigram(a, b) >= t: sets of trigrams.  EditSimilarity(a, b) >= t
+    and Levenshtein(a, b) <= k: an edit changes three trigrams at most; texts
+    too short for that meet on lengths.  JaroWinkler(a, b) >= t, t > 0.8: so
+    many letters match, and what they allow is checked before the score is.
     """
     for q in conjuncts(p):
         if not (isinstance(q, ir.Cmp) and isinstance(q.left, ir.Call) and isinstance(q.right, ir.Lit) and len(q.left.args) == 2 and all(isinstance(a, ir.Ref) for a in q.left.args)):
@@ -125,34 +147,74 @@ def _similarity(p: ir.Expr, left: Scope, right: Scope):
             a, b = ends[1][0][0], ends[0][1][0]
         else:
             continue
-        la, lb = F.char_length(c(a)), F.char_length(c(b))
+        size = lambda x: F.char_length(c(x))
         if name == "EDITSIMILARITY" and q.op in (">=", ">") and 0 < t <= 1:
             t = float(t)
-            band = F.sequence(F.ceil(lb * t - 1e-9).cast("int"), F.floor(lb / t + 1e-9).cast("int"))
-        elif name == "LEVENSHTEIN" and q.op in ("<=", "<"):
-            band = F.sequence(F.greatest(lb - int(t), F.lit(0)), lb + int(t))
-        elif name == "TRIGRAM" and q.op in (">=", ">") and 0 < t <= 1:
-            def grams(x):
-                g = F.array_sort(scalar.trigrams(c(x)))
-                # |A ∩ B| >= t |A ∪ B| >= t |A|: beyond this prefix there are too few left
-                return F.slice(g, F.lit(1), F.size(g) - F.ceil(F.size(g) * float(t) - 1e-9).cast("int") + 1)
-
-            def by_gram(cond):
-                x = left.df.withColumn("__l", F.monotonically_increasing_id()).withColumn("__g", F.explode(grams(a)))
-                y = right.df.withColumn("__h", F.explode(grams(b)))
-                first = F.array_min(F.array_intersect(grams(a), grams(b)))
-                return x.join(y, (F.col("__g") == F.col("__h")) & (F.col("__g") == first) & cond).drop("__g", "__h", "__l")
-
-            return by_gram
-        else:
-            continue
+            edits = lambda x: F.floor(size(x) * ((1 - t) / t) + 1e-9).cast("int")
+            band = F.sequence(F.ceil(size(b) * t - 1e-9).cast("int"), F.floor(size(b) / t + 1e-9).cast("int"))
+            return _by_edits(left, right, a, b, edits, band)
+        if name == "LEVENSHTEIN" and q.op in ("<=", "<"):
+            return _by_edits(left, right, a, b, lambda x: F.lit(int(t)), F.sequence(F.greatest(size(b) - int(t), F.lit(0)), size(b) + int(t)))
+        if name == "TRIGRAM" and q.op in (">=", ">") and 0 < t <= 1:
+            t = float(t)
+            # |A n B| >= t |A u B| >= t |A|
+            return lambda cond: _by_tokens(left, right, a, b, lambda x: scalar.trigrams(c(x)), lambda g, x: F.size(g) - F.ceil(F.size(g) * t - 1e-9).cast("int") + 1, cond)
+        if name == "JAROWINKLER" and q.op in (">=", ">") and 0.8 < t <= 1:
+            t = float(t)
+            jaro = (t - 0.4) / 0.6  # a common start adds 0.4 of what lacks, at most
+            share = 3 * jaro - 2  # of a text's letters, that match
+            tokens = lambda x: _tokens(c(x), _letters)
+            match = F.size(F.array_intersect(tokens(a), tokens(b)))
+            most = (match / F.greatest(size(a), F.lit(1)) + match / F.greatest(size(b), F.lit(1)) + 1) / 3
+            start = F.lit(0)
+            for i in range(4, 0, -1):
+                start = F.when(F.substr(c(a), F.lit(i), F.lit(1)).eqNullSafe(F.substr(c(b), F.lit(i), F.lit(1))) & (size(a) >= i), 1 + start).otherwise(0)
+            may = ((size(a) == 0) & (size(b) == 0)) | (most + F.when(most >= 0.7, 0.1 * start * (1 - most)).otherwise(0) >= t - 1e-9)
+            return lambda cond: _by_tokens(left, right, a, b, tokens, lambda g, x: F.size(g) - F.ceil(F.size(g) * share - 1e-9).cast("int") + 1, cond, may, empty=True)
+    return None
 
-        def by_length(cond, band=band, la=la):
-            y = right.df.withColumn("__n", F.explode(band))
-            return left.df.withColumn("__m", la).join(y, (F.col("__m") == F.col("__n")) & cond).drop("__m", "__n")
 
-        return by_length
-    return None
+def _by_tokens(left: Scope, right: Scope, a: Column, b: Column, tokens, many, cond, may=None, empty: bool = False):
+    """Joins rows that share one of the first ``many`` of their tokens, each
+    pair once; with ``empty`` texts without tokens meet each other too."""
+    x, y = left.df.withColumn("__g", tokens(a)), right.df.withColumn("__h", tokens(b))
+    n = y.count()
+    often = y.select(F.explode("__h").alias("t")).groupBy("t").count().where(F.col("count") > max(2, n * COMMON)).collect()  # tokens of a row / COMMON at most
+    rank = F.from_json(F.lit(_json({r.t: r["count"] for r in often})), "map<string,int>") if often else None
+
+    def first(g, x):
+        ordered = F.transform(F.array_sort(F.transform(g, lambda k: F.struct((F.coalesce(F.try_element_at(rank, k), F.lit(0)) if rank is not None else F.lit(0)).alias("n"), k.alias("k")))), lambda e: e["k"])
+        return F.slice(ordered, F.lit(1), F.greatest(many(g, x), F.lit(0)))
+
+    x, y = x.withColumn("__f", first(F.col("__g"), a)), y.withColumn("__e", first(F.col("__h"), b))
+    if empty:
+        none = F.array(F.lit(""))
+        x, y = x.withColumn("__f", F.when(F.size("__g") == 0, none).otherwise(F.col("__f"))), y.withColumn("__e", F.when(F.size("__h") == 0, none).otherwise(F.col("__e")))
+    x, y = x.withColumn("__k", F.explode("__f")), y.withColumn("__l", F.explode("__e"))
+    once = F.col("__k") == F.get(F.array_intersect("__f", "__e"), F.lit(0))
+    on = (F.col("__k") == F.col("__l")) & once
+    met = x.join(y, on & may if may is not None else on)
+    return met.filter(cond).drop("__g", "__f", "__k", "__h", "__e", "__l")
+
+
+def _json(d: dict) -> str:
+    import json
+
+    return json.dumps(d)
+
+
+def _by_edits(left: Scope, right: Scope, a: Column, b: Column, edits, band):
+    # Texts have one trigram more than letters; three are lost by an edit.
+    long = lambda x: F.char_length(c(x)) + 1 > 3 * edits(x)
+
+    def plan(cond):
+        x, y = Scope(left.df.filter(long(a)), left.cols), Scope(right.df.filter(long(b)), right.cols)
+        out = _by_tokens(x, y, a, b, lambda k: _tokens(c(k), _trigrams), lambda g, k: 3 * edits(k) + 1, cond)
+        z = right.df.withColumn("__n", F.explode(band))
+        short = left.df.withColumn("__m", F.char_length(c(a))).join(z, (F.col("__m") == F.col("__n")) & ~(long(a) & long(b)) & cond)
+        return out.unionByName(short.drop("__m", "__n"))
+
+    return plan
 
 
 # As-of ----------------------------------------------------------------------------
@@ -160,7 +222,10 @@ def _similarity(p: ir.Expr, left: Scope, right: Scope):
 def _asof(lo: Lowering, n: ir.AsOf, outer) -> Scope:
     """The nearest right row: one window over both sides in order, not a
     range join.  Left rows and right rows share partitions by the equality
-    keys; the last right row seen so far is carried along."""
+    keys (without keys and with much data, ranges of the order); the last
+    right row seen so far is carried along."""
+    from tessera.operators.windows import Ranges, is_wide
+
     left, right = lo.finite(n.left, outer), lo.finite(n.right, outer)
     both = _pair(left, right)
     keys, at = [], None
@@ -207,7 +272,15 @@ def _asof(lo: Lowering, n: ir.AsOf, outer) -> Scope:
     good = F.col("__v").isNotNull()
     for k in ks:
         good = good & F.col(k).isNotNull()
-    out = el.union(rr).withColumn("__m", seen).filter("__is").withColumn("__m", F.when(good, F.col("__m")))
+    out = el.union(rr)
+    if not ks and (is_wide(left) or is_wide(right)):
+        # In ranges of the order; what stands before a range is its row's.
+        pair = F.when(~F.col("__is"), F.struct(F.col("__v").alias("v"), F.col("__r").alias("r")))
+        at = F.when(~F.col("__is"), F.col("__v"))
+        ranges = Ranges(Scope(out, ()), [order, F.col("__s").asc()], __last=F.max_by(pair, at) if backward else F.min_by(pair, at))
+        out = ranges.joined(__past=F.last("__last", ignorenulls=True))
+        seen = F.coalesce(F.last(pair, ignorenulls=True).over(ranges.local.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.col("__past"))
+    out = out.withColumn("__m", seen).filter("__is").withColumn("__m", F.when(good, F.col("__m")))
     if n.within is not None:
         d = lo.value(n.within, left, outer)
         gap = (F.col("__v") - F.col("__m.v")) if backward else (F.col("__m.v") - F.col("__v"))
@@ -243,18 +316,16 @@ def _allen(relation: str, a, b, x, y):
     }[relation]
 
 
-#: Buckets of time that one interval may fall into, about.
-BUCKETS = 4
-
-
 @handles(ir.IntervalJoin)
 def _interval(lo: Lowering, n: ir.IntervalJoin, outer) -> Scope:
     """Pairs of intervals in one of Allen's relations.
 
     Relations with an equality are equi-joins.  Those in which the intervals
-    share points meet in buckets of the mean length's scale: each pair once,
-    in the first bucket both touch.  PRECEDES and PRECEDED_BY have no bound
-    and stay range joins.
+    share points meet in buckets: an interval's level is the power of two that
+    its length fits in, and two intervals meet at the higher of their levels,
+    where either touches two buckets at most, each pair once.  So a row is
+    sent at most twice a level that occurs, however long others are.  PRECEDES
+    and PRECEDED_BY have no bound and stay range joins.
     """
     left, right = lo.finite(n.left, outer), lo.finite(n.right, outer)
     ends = [lo.value(r, s, outer) for r, s in zip(n.columns, (left, left, right, right))]
@@ -271,14 +342,25 @@ def _interval(lo: Lowering, n: ir.IntervalJoin, outer) -> Scope:
     if n.relation not in ("INTERSECTS", "OVERLAPS", "OVERLAPPED_BY", "DURING", "CONTAINS"):
         return Scope(l.join(r, test), cols)
     axis = (lambda e: e.cast("double")) if number else (lambda e: F.unix_micros(e.cast("timestamp")).cast("double"))
-    width = F.greatest(axis(b) - axis(a), F.lit(0.0))
-    other = F.greatest(axis(y) - axis(x), F.lit(0.0))
-    stat = [l.agg(F.avg(width)).first()[0], r.agg(F.avg(other)).first()[0]]
-    size = max([s for s in stat if s] or [0.0]) / (BUCKETS / 2) or 1.0
-    bucket = lambda e: F.floor(axis(e) / F.lit(float(size))).cast("bigint")
-    # An inverted interval is tested all the same: its buckets run the other way.
-    span = lambda p, q: F.sequence(F.least(bucket(p), bucket(q)), F.greatest(bucket(p), bucket(q)))
-    l = l.withColumn("__lo", F.least(bucket(a), bucket(b))).withColumn("__b", F.explode(span(a, b)))
-    r = r.withColumn("__ro", F.least(bucket(x), bucket(y))).withColumn("__c", F.explode(span(x, y)))
-    met = (F.col("__b") == F.col("__c")) & (F.col("__b") == F.greatest("__lo", "__ro")) & test
+    level = lambda p, q: F.ceil(F.log2(F.abs(axis(q) - axis(p)))).cast("int")  # noqa: E731  (null for points)
+    far = lambda p, q: F.greatest(F.abs(axis(p)), F.abs(axis(q)))
+    sides = [d.agg(F.max(far(p, q)), F.collect_set(level(p, q))).first() for d, p, q in ((l, a, b), (r, x, y))]  # a number for each level
+    # Buckets of an interval are numbers that a double holds exactly.
+    top = max([v for v, _ in sides if v] or [1.0])
+    least = max(math.ceil(math.log2(top)) - 50, min([k for _, ks in sides for k in ks] or [0]))
+    levels = [sorted({max(k, least) for k in ks} | {least}) for _, ks in sides]
+
+    def dealt(d, p, q, others, mark):
+        """A row for each bucket at the interval's own level, and at those
+        higher ones that occur on the other side."""
+        own = F.greatest(F.coalesce(level(p, q), F.lit(least)), F.lit(least))
+        at = lambda e, k: F.floor(axis(e) / F.pow(F.lit(2.0), k)).cast("bigint")
+        # An inverted interval is tested all the same: its buckets run the other way.
+        ks = F.filter(F.array_distinct(F.concat(F.array(own), F.array(*[F.lit(k) for k in others]))), lambda k: k >= own)
+        d = d.withColumn(f"__k{mark}", F.explode(ks)).withColumn(f"__own{mark}", own)
+        k = F.col(f"__k{mark}")
+        return d.withColumn(f"__lo{mark}", F.least(at(p, k), at(q, k))).withColumn(f"__b{mark}", F.explode(F.sequence(F.least(at(p, k), at(q, k)), F.greatest(at(p, k), at(q, k)))))
+
+    l, r = dealt(l, a, b, levels[1], 0), dealt(r, x, y, levels[0], 1)
+    met = (F.col("__k0") == F.col("__k1")) & (F.col("__b0") == F.col("__b1")) & (F.col("__k0") == F.greatest("__own0", "__own1")) & (F.col("__b0") == F.greatest("__lo0", "__lo1")) & test
     return Scope(l.join(r, met).select(*[k.id for k in cols]), cols)

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.operators.components import cut
 from tessera.plans import ir
 from tessera.plans.lexer import AlgebraError
 from tessera.plans.lower import Lowering, handles
@@ -40,7 +41,8 @@ def _roll(lo: Lowering, n: ir.Roll, outer) -> Scope:
     weight = lo.value(n.weight, s, outer).cast("double") if n.weight is not None else F.lit(1.0)
 
     def draws(count: int, offset: int = 0) -> Scope:
-        faces = s.df.withColumn("__w", F.coalesce(weight, F.lit(0.0)))
+        # Cut, so that rows keep their partitions between the passes.
+        faces = cut(s.df.withColumn("__w", F.coalesce(weight, F.lit(0.0))))
         total, least, many = faces.agg(F.sum("__w"), F.min("__w"), F.count(F.lit(1))).first()
         if not many:
             return s.with_df(s.df)
