@@ -1,10 +1,11 @@
 """Byte-level BPE by corpus-level merge replay.
 
-The distinct pre-tokens of a chunk of the corpus are laid end to end as one
+The distinct pre-tokens of a part of the corpus are laid end to end as one
 array of symbols.  An inverted index maps each mergeable token pair to the
 positions where it stands; merges are replayed in rank order, each one over
 all its positions at once, and only the touched neighbours are looked up and
-indexed anew.  As merges never cross a pre-token, replaying a chunk gives the
+indexed anew.  A task keeps the ids of the pre-tokens that it has met, so each
+is merged once.  As merges never cross a pre-token, replaying parts gives the
 same ids as replaying the whole corpus, so nothing is shuffled and a lost
 task is simply run again.
 """
@@ -16,7 +17,7 @@ import heapq
 import re
 from collections import defaultdict
 from collections.abc import Iterable
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,11 @@ from pyspark.sql import DataFrame
 from tessera.llm.common import map_texts
 
 _NONE = np.int32(2**31 - 1)
-#: Characters of a chunk: some 55 bytes of arrays each.
+#: Characters of a chunk; those of its new pre-tokens take some 55 bytes of
+#: arrays each.
 CHUNK = 2_000_000
+#: Pre-tokens that a task remembers, about; then it begins anew.
+MEMO = 400_000
 
 # White space as the public tokenizer's regular expressions see it (Unicode
 # White_Space: unlike Python's \s, without the separators 0x1C to 0x1F).
@@ -56,6 +60,25 @@ class Replay:
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], np.fromiter(pairs.values(), np.int32, len(pairs))[order]
 
+        self.forget()
+
+    def forget(self) -> None:
+        """Numbers of pre-tokens, their ids end to end, where each begins."""
+        self.number: dict[str, int] = defaultdict(count().__next__)
+        self.ids, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def learn(self, texts: list[str]) -> list[np.ndarray]:
+        """The pre-tokens of each text by number; new ones are merged."""
+        if len(self.number) > MEMO:
+            self.forget()
+        old, number = len(self.number), self.number
+        docs = [np.array([number[w] for w in self.split(t)], np.int32) for t in texts]
+        if len(number) > old:
+            ids, starts = self.encode(islice(number, old, None))
+            self.starts = np.concatenate([self.starts, starts[1:] + len(self.ids)])
+            self.ids = np.concatenate([self.ids, ids])
+        return docs
+
     def split(self, text: str) -> list[str]:
         return self.general.findall(text) if _OTHER.search(text) else _LATIN.findall(text)
 
@@ -147,14 +170,10 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", kee
         return Replay(ranks_path, pattern)
 
     def run(state: Replay, texts: list[str]) -> list:
-        number: dict[str, int] = defaultdict(count().__next__)
-        docs = [np.array([number[w] for w in state.split(t)], np.int32) for t in texts]
-        ids, starts = state.encode(number)
-        lengths = np.diff(starts)
-        del number
+        docs = state.learn(texts)
         words = np.concatenate(docs) if docs else np.zeros(0, np.int32)
         ends = np.cumsum([0, *map(len, docs)])
-        out, where = _gather(ids, starts, lengths, words)
+        out, where = _gather(state.ids, state.starts, np.diff(state.starts), words)
         offsets = where[ends].astype(np.int32)
         made = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(out))]
         if decode:

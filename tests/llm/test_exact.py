@@ -88,6 +88,17 @@ def test_byte_pairs(spark, reference):
         assert bytes(r.decoded) == text.encode()
 
 
+def test_a_task_that_forgets(spark, reference, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 30)
+    state = bpe.Replay(*tokenizer())
+    rng = random.Random(8)
+    for _ in range(40):
+        texts = [" ".join(rng.choice(["alpha", "beta", f"x{rng.randrange(99)}", "\n"]) for _ in range(rng.randint(0, 9))) for _ in range(3)]
+        for t, words in zip(texts, state.learn(texts)):
+            ids = [i for w in words for i in state.ids[state.starts[w] : state.starts[w + 1]].tolist()]
+            assert ids == reference.encode_ordinary(t)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60))
 def test_any_text_in_byte_pairs(text):
