@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_texts
+from tessera.llm.common import map_texts, tidy
 from tessera.operators.components import components, cut
 
 #: Rows of one probe key above which the key is dealt out in pairs of tiles.
@@ -237,7 +237,7 @@ def links(prints: DataFrame, max_bits: int = 3) -> DataFrame:
             yield from put(kept.combine_chunks())
 
     dealt = rows.repartition("part", "key", "i", "j").sortWithinPartitions("part", "key", "i", "j")
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return dealt.mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 3, max_bits: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
