@@ -64,6 +64,16 @@ def map_texts(
     return df.select(*cols).mapInArrow(go, schema)
 
 
+def tidy(run: Callable) -> Callable:
+    """A batch function that gives freed memory back when its task ends."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _give_back()
+
+    return go
+
+
 def _give_back() -> None:
     """Returns freed memory to the system: workers outlive their tasks."""
     pa.default_memory_pool().release_unused()

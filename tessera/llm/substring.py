@@ -24,15 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _chunks
-from tessera.operators.components import checkpoint_dir
+from tessera.llm.common import _chunks, tidy
+from tessera.operators.components import checkpoint_dir, cut, drop
 
 #: Rounds of pair naming; in those listed runs are named first.
 ROUNDS, RUNS = 4, (0, 2)
 #: Most bits of a filter (32 MB); it has 16 for each entry, down to 2**20.
 FILTER_BITS = 1 << 28
 #: Characters of text parsed at a time, at most (a text is never cut).
-PART = 4_000_000
+PART = 1_000_000
 _M = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _U = np.uint64
 
@@ -200,13 +200,8 @@ class Parse:
         size_[live] = np.append(level.start, level.n)[best + 1] - level.start[best]
 
 
-def _hashed(part: pa.RecordBatch) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Texts, hashes of them, and ids of (id, text) rows."""
-    import xxhash
-
-    texts = [t or "" for t in part.column(1).to_pylist()]
-    th = np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], np.uint64).view(np.int64)
-    return texts, th, part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+def _texts(part: pa.RecordBatch) -> list[str]:
+    return [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
 
 
 def _segments(df: DataFrame, window: int) -> DataFrame:
@@ -215,15 +210,19 @@ def _segments(df: DataFrame, window: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in _chunks(batch, PART):
-                texts, th, ids = _hashed(part)
-                got = Parse(texts, window)
+                got = Parse(_texts(part), window)
                 if len(got.p):
                     a, n = got.start, got.n
                     d = got.doc[a]
                     h = [got.hash(a, a + n + window - 1, i).view(np.int64) for i in (0, 1)]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[d]), pa.array(th[d]), pa.array((a - got.first[d]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(got.left.view(np.int64), mask=~got.has_left), pa.array(got.right.view(np.int64), mask=~got.has_right), *map(pa.array, h)], names=["doc_id", "th", "start", "n", "ctx_l", "ctx_r", "h1", "h2"])
+                    at = pa.array(d)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array((a - got.first[d]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(got.left.view(np.int64), mask=~got.has_left), pa.array(got.right.view(np.int64), mask=~got.has_right), *map(pa.array, h)], names=["doc_id", "th", "start", "n", "ctx_l", "ctx_r", "h1", "h2"])
+
+    return df.where("doc_id is not null").select("doc_id", "th", "text").mapInArrow(tidy(run), f"doc_id {_kind(df)}, th bigint, start int, n int, ctx_l bigint, ctx_r bigint, h1 bigint, h2 bigint")
 
-    return df.where("doc_id is not null").mapInArrow(run, "doc_id bigint, th bigint, start int, n int, ctx_l bigint, ctx_r bigint, h1 bigint, h2 bigint")
+
+def _kind(df: DataFrame) -> str:
+    return df.schema["doc_id"].dataType.simpleString()
 
 
 class Filter:
@@ -243,30 +242,32 @@ class Filter:
         return ((self.packed[at >> _U(3)] >> (_U(7) - (at & _U(7))).astype(np.uint8)) & 1).all(axis=0)
 
     @staticmethod
-    def of(numbers: DataFrame, count: int) -> Filter:
-        """From one bigint column; at most FILTER_BITS whatever the count."""
+    def of(numbers: DataFrame, count: int, within: Filter | None = None) -> Filter:
+        """From one bigint column; at most FILTER_BITS whatever the count.
+        With ``within``, only of rows whose second number that filter has."""
         size = min(FILTER_BITS, 1 << max(20, (16 * count).bit_length()))
+        shared, within_there = numbers.sparkSession.sparkContext.broadcast(within), within is not None
 
         def run(batches):
-            bits = np.zeros(size, bool)
+            packed = np.zeros(size // 8, np.uint8)
             for b in batches:
-                bits[Filter.slots(np.ascontiguousarray(b.column(0).to_numpy(zero_copy_only=False)), size).ravel()] = True
-            packed = np.packbits(bits).reshape(-1, 4096)
+                x = np.ascontiguousarray(b.column(0).to_numpy(zero_copy_only=False))
+                if within_there:
+                    x = x[shared.value.has(b.column(1).to_numpy(zero_copy_only=False))]
+                at = Filter.slots(x, size).ravel()
+                np.bitwise_or.at(packed, (at >> _U(3)).astype(np.int64), _U(128).astype(np.uint8) >> (at & _U(7)).astype(np.uint8))
+            packed = packed.reshape(-1, 4096)
             some = np.flatnonzero(packed.any(axis=1))
             for at in range(0, len(some), 256):
                 part = some[at : at + 256]
                 yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([x.tobytes() for x in packed[part]], pa.binary())], names=["block", "bits"])
 
         out = np.zeros((size // 8 // 4096, 4096), np.uint8)
-        for r in numbers.mapInArrow(run, "block int, bits binary").toLocalIterator():  # a partition's filter at a time
+        for r in numbers.mapInArrow(tidy(run), "block int, bits binary").toLocalIterator():  # a partition's filter at a time
             out[r.block] |= np.frombuffer(r.bits, np.uint8)
         return Filter(out.ravel())
 
 
-def _of_doc(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return (_mix(doc.view(np.uint64) * _M[0]) ^ h.view(np.uint64)).view(np.int64)
-
-
 def _windows(df: DataFrame, window: int, filters: tuple[Filter, Filter, Filter]) -> DataFrame:
     """doc_id, th, start, w1, w2 of the windows to compare: ``filters`` tell
     shared sides, segments of several documents, and the first documents of
@@ -277,14 +278,14 @@ def _windows(df: DataFrame, window: int, filters: tuple[Filter, Filter, Filter])
         sides, again, firsts = shared.value
         for batch in batches:
             for part in _chunks(batch, PART):
-                texts, th, ids = _hashed(part)
-                got = Parse(texts, window)
+                got = Parse(_texts(part), window)
                 if not len(got.p):
                     continue
+                ids = part.column(2).to_numpy()
                 d = got.doc[got.start]
                 h = got.hash(got.start, got.start + got.n + window - 1, 0).view(np.int64)
                 left, right = got.has_left & sides.has(got.left), got.has_right & sides.has(got.right)
-                good = (left | right) & (~again.has(h) | firsts.has(_of_doc(ids[d], h)))
+                good = (left | right) & (~again.has(h) | firsts.has(ids[d] ^ h))
                 if not good.any():
                     continue
                 a, n = got.start[good], got.n[good]
@@ -293,11 +294,12 @@ def _windows(df: DataFrame, window: int, filters: tuple[Filter, Filter, Filter])
                 p = np.arange(before[-1]) + np.repeat(a - before[:-1], n)
                 p = p[left[k] & (got.at[k] - p >= got.reach[k]) | right[k] & (p + window - got.at[k] - got.size[k] >= got.reach[k])]
                 d = got.doc[p]
-                for i in range(0, len(p), 200_000):
-                    q, e = p[i : i + 200_000], d[i : i + 200_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[e]), pa.array(th[e]), pa.array((q - got.first[e]).astype(np.int32)), *(pa.array(got.hash(q, q + window, j).view(np.int64)) for j in (0, 1))], names=["doc_id", "th", "start", "w1", "w2"])
+                for i in range(0, len(p), 100_000):
+                    q, e = p[i : i + 100_000], d[i : i + 100_000]
+                    at = pa.array(e)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array((q - got.first[e]).astype(np.int32)), *(pa.array(got.hash(q, q + window, j).view(np.int64)) for j in (0, 1))], names=["doc_id", "th", "start", "w1", "w2"])
 
-    return df.where("doc_id is not null").mapInArrow(run, "doc_id bigint, th bigint, start int, w1 bigint, w2 bigint")
+    return df.where("doc_id is not null").select("doc_id", "th", F.xxhash64("doc_id"), "text").mapInArrow(tidy(run), f"doc_id {_kind(df)}, th bigint, start int, w1 bigint, w2 bigint")
 
 
 def _kept(segs: DataFrame, again: Filter) -> DataFrame:
@@ -309,18 +311,13 @@ def _kept(segs: DataFrame, again: Filter) -> DataFrame:
             good = pa.array(shared.value.has(b.column(b.schema.get_field_index("h1")).to_numpy()))
             yield b.filter(good)
 
-    return segs.mapInArrow(run, segs.schema)
-
-
-def _drop(spark, path: str) -> None:
-    """Deletes a folder that we wrote."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return segs.mapInArrow(tidy(run), segs.schema)
 
 
 def repeats(df: DataFrame, window: int = 50) -> DataFrame:
     """``doc_id, th, start, n``: stretches of ``n`` windows, from the word
-    ``start`` on, that also start in a document with a smaller id."""
+    ``start`` on, that also start in a document with a smaller id.  ``df``
+    has ``doc_id``, ``text`` and ``th``, a hash of the text."""
     spark = df.sparkSession
     base = f"{checkpoint_dir(spark)}/tessera-{uuid.uuid4().hex}"
     stored = lambda name: spark.read.parquet(f"{base}/{name}")
@@ -335,22 +332,16 @@ def repeats(df: DataFrame, window: int = 50) -> DataFrame:
     whole = _kept(segs.select("doc_id", "th", "start", "n", "h1", "h2"), again).join(shared.select("h1", "h2", "lo"), ["h1", "h2"]).where("doc_id > lo").select("doc_id", "th", "start", "n")
     sides = firsts.select(F.explode(F.array("ctx_l", "ctx_r")).alias("x")).where("x is not null").groupBy("x").count().where("count > 1").select("x")
     sides.write.parquet(f"{base}/sides")
-
-    def first(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_of_doc(b.column(0).to_numpy(), b.column(1).to_numpy()))], names=["x"])
-
     # Also of segments of one document that `again` has by chance.
-    owned = _kept(firsts.select("lo", "h1"), again)
-    filters = Filter.of(stored("sides"), stored("sides").count()), again, Filter.of(owned.mapInArrow(first, "x bigint"), owned.count())
+    own = firsts.select(F.xxhash64("lo").bitwiseXOR(F.col("h1")).alias("x"), "h1")
+    filters = Filter.of(stored("sides"), stored("sides").count()), again, Filter.of(own, n, again)
     _windows(df, window, filters).write.parquet(f"{base}/windows")
     found = stored("windows")
     twice = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("w1", "w2", "lo")
     single = found.join(twice, ["w1", "w2"]).where("doc_id > lo").select("doc_id", "th", "start", F.lit(1).alias("n"))
-    whole.union(single).write.parquet(f"{base}/stretches")
-    for name in ("segments", "firsts", "sides", "windows"):  # nothing reads them again
-        _drop(spark, f"{base}/{name}")
-    return stored("stretches")
+    out = cut(whole.union(single))
+    drop(spark, base)  # nothing reads it again
+    return out
 
 
 def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = 50) -> DataFrame:
@@ -361,38 +352,31 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
     Words are what ASCII white space parts.  Null and empty texts, and texts
     shorter than a window, lose nothing; nor do rows with a null id, which
     also take nothing from others.  Of rows repeated under one id none is
-    before the other, so repeats among them stay.
+    before the other, so repeats among them stay.  Ids are of any type that
+    has an order, and come back in it.
     """
-    docs = df.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    docs = docs.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
     stretch = repeats(docs, window).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n")).alias("s"))
-    # One row for each text and id, so the list holds a text's own windows.
-    stretch = stretch.groupBy("doc_id").agg(F.collect_list(F.struct("th", "s")).alias("by_text"))
-    joined = docs.join(stretch, "doc_id", "left")
+    joined = docs.join(stretch, ["doc_id", "th"], "left")
 
     def run(batches):
-        import xxhash
-
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in _chunks(batch, PART):
                 total, removed, kept = [], [], []
-                texts, lists = part.column(1).to_pylist(), part.column(2)
+                lists, texts = part.column(1), part.column(2).to_pylist()
                 for i, t in enumerate(texts):
-                    raw = (t or "").encode("utf-8", "surrogatepass")
-                    words = raw.split()
+                    words = (t or "").encode("utf-8", "surrogatepass").split()
                     cover = np.zeros(len(words) + 1, np.int32)
                     if lists[i].is_valid:
-                        th = np.array([xxhash.xxh3_64_intdigest(raw)], np.uint64).view(np.int64)[0]
-                        for one in lists[i].values:
-                            if one["th"].as_py() == th:
-                                v = one["s"].values
-                                a = v.field("start").to_numpy().astype(np.int64)
-                                np.add.at(cover, a, 1)
-                                np.add.at(cover, a + v.field("n").to_numpy() + window - 1, -1)
+                        v = lists[i].values
+                        a = v.field("start").to_numpy().astype(np.int64)
+                        np.add.at(cover, a, 1)
+                        np.add.at(cover, a + v.field("n").to_numpy() + window - 1, -1)
                     gone = np.cumsum(cover[:-1]) > 0
                     total.append(len(words))
                     removed.append(int(gone.sum()))
                     kept.append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if removed[-1] else words))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return joined.select("doc_id", "text", "by_text").mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept binary")
+    return joined.select("doc_id", "s", "text").mapInArrow(tidy(run), f"doc_id {_kind(docs)}, n_words bigint, n_removed bigint, kept binary")
