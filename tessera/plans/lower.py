@@ -43,6 +43,7 @@ class Lowering:
         self.session, self.spark, self.params = session, session.spark, params or {}
         self.bound: dict[str, Scope] = {}
         #: What queries next to a relation ask of it: a limit, columns, values.
+        self.around: tuple[Scope, ...] = ()  # whose columns a value may also name
         self.asked: dict[str, dict] = {}
         self.views: list[str] = []
 
@@ -85,7 +86,11 @@ class Lowering:
 
     # Expressions -----------------------------------------------------------
     def value(self, e: ir.Expr, scope: Scope, outer: tuple[Scope, ...] = ()) -> SparkColumn:
-        got = self._value(e, scope, outer)
+        before, self.around = self.around, outer
+        try:
+            got = self._value(e, scope, outer)
+        finally:
+            self.around = before
         if isinstance(e, ir.Lit):
             got._tessera_literal = e.value
         return got
@@ -93,6 +98,10 @@ class Lowering:
     def type(self, col: SparkColumn, scope: Scope) -> T.DataType | None:
         """The type Spark gives a column, or None where it cannot tell yet
         (a value of the row around a subquery)."""
+        if self.around:  # Spark logs an error for what it is asked in vain
+            text = col._jc.toString()
+            if any(x.id in text for s in self.around for x in s.cols):
+                return None
         try:
             return scope.df.select(col).schema[0].dataType
         except Exception as e:

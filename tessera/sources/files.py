@@ -1,7 +1,7 @@
 """Delimited and JSON files, and the literal tables of scripts.
 
-Files are read by Spark's own readers, so they split and prune; a heading
-that is not declared is inferred from a bounded sample of records.
+Files are read by Spark's own readers, so they split and prune.  Types that
+are not declared are inferred from all records, in one pass over the file.
 """
 
 from __future__ import annotations
@@ -17,8 +17,6 @@ from pyspark.sql import types as T
 from tessera.functions import durations
 from tessera.plans.lexer import AlgebraError
 
-#: Records that types are inferred from.
-SAMPLE = 1000
 EXACT = T.DecimalType(38, 10)
 _SIMPLE = {"NUMBER": EXACT, "STRING": T.StringType(), "BOOLEAN": T.BooleanType(), "DATE": T.DateType(), "TIMESTAMP": T.TimestampType(), "TIME": T.StringType(), "ANY": T.StringType(), "DURATION": T.DayTimeIntervalType()}
 _ZONED = T.StructType([T.StructField("at", T.TimestampType()), T.StructField("offset_s", T.IntegerType())])
@@ -85,8 +83,7 @@ def read_csv(spark: SparkSession, path: str, options: dict, sep: str = ",") -> D
             raw = raw.toDF(*columns, *raw.columns[len(columns) :]).select(*columns)
         if not header and not columns:
             raise AlgebraError(f"{path} has no header: give its columns or a schema")
-        sample = raw.limit(SAMPLE).collect()  # SAMPLE rows at most
-        kinds = {c: infer([r[c] for r in sample]) for c in raw.columns}
+        kinds = inferred(raw)
     return raw.select(*[converted(F.col(f"`{_cased(raw, n)}`"), k).alias(n) for n, k in kinds.items()])
 
 
@@ -101,20 +98,13 @@ def _raw(reader, path: str, names: list[str] | None) -> DataFrame:
     return reader.option("inferSchema", False).csv(path)
 
 
-def infer(values: list) -> str:
-    """The narrowest type that all values read as; STRING if there are none."""
-    some = [v for v in values if v is not None and v != ""]
-    if not some:
-        return "STRING"
-    if all(_NUMBER.fullmatch(v.strip()) for v in some):
-        return "NUMBER"
-    if all(v.strip().lower() in ("true", "false") for v in some):
-        return "BOOLEAN"
-    if all(_DATE.fullmatch(v.strip()) for v in some):
-        return "DATE"
-    if all(_STAMP.fullmatch(v.strip()) for v in some):
-        return "TIMESTAMP"
-    return "STRING"
+def inferred(raw: DataFrame) -> dict[str, str]:
+    """The narrowest type that all values of each column of text read as;
+    STRING if there are none."""
+    tests = {"NUMBER": rf"\s*({_NUMBER.pattern})\s*", "BOOLEAN": r"\s*(?i:true|false)\s*", "DATE": rf"\s*{_DATE.pattern}\s*", "TIMESTAMP": rf"\s*{_STAMP.pattern}\s*"}
+    some = lambda c: F.when(F.col(f"`{c}`") != "", F.col(f"`{c}`"))
+    got = raw.agg(*[F.bool_and(some(c).rlike(f"^(?:{p})$")).alias(f"{i}{k}") for i, c in enumerate(raw.columns) for k, p in tests.items()]).first()
+    return {c: next((k for k in tests if got[f"{i}{k}"]), "STRING") for i, c in enumerate(raw.columns)}
 
 
 def read_json(spark: SparkSession, path: str, records: str | None = None, lines: bool = False) -> DataFrame:

@@ -201,3 +201,20 @@ def test_stateful_session_labels(session, tmp_path):
     stream = session.spark.readStream.schema("u string, ts timestamp").parquet(str(tmp_path / "s"))
     got = drained(labelled(stream, "ts", 60, "u", "s"), "append")
     assert sorted((r.u, r.ts.second + 60 * r.ts.minute, r.s) for r in got.collect()) == [("a", 0, 1), ("a", 50, 1), ("a", 200, 2), ("b", 5, 1)]
+
+
+def test_types_are_told_from_all_rows(session, tmp_path):
+    (tmp_path / "late.csv").write_text("a,b,c,d\n" + "1,true,2024-01-02,\n" * 1500 + "x, FALSE ,2024-01-03,\n")
+    session.input("Late", str(tmp_path / "late.csv"))
+    kinds = dict(session.relation("Late").df.dtypes)
+    assert kinds["a"] == "string" and kinds["b"] == "boolean" and kinds["c"] == "date" and kinds["d"] == "string"
+    assert session.relation("σ a = 'x' (Late)").count() == 1
+
+
+def test_many_components_are_numbered_in_ranges(session, monkeypatch):
+    from tessera.operators import windows
+
+    session.source("E", [(i, i + 1) for i in range(0, 60, 3)], "a int, b int")
+    few = rows(session.relation("CLUSTER a, b AS label (E)"))
+    monkeypatch.setattr(windows, "ONE_TASK", -1)
+    assert rows(session.relation("CLUSTER a, b AS label (E)")) == few and {n for _, n in few} == set(range(1, 21))
