@@ -9,6 +9,11 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.operators.components import cut
+from tessera.operators.windows import Ranges
+from tessera.plans.scope import Scope
 
 #: Characters of text that one call of a batch function handles at most,
 #: unless a single text is longer (a text is never cut).
@@ -29,6 +34,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def by_number(df: DataFrame, name: str, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``run`` on whole-number ids.  Ids of another type are numbered in
+    their order first, and put back in ``name`` and ``component_id`` of what
+    ``run`` gives; null ids stay null."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.IntegralType):
+        return run(df)
+    ids = Ranges(Scope(df.select(F.col(f"`{name}`").alias("__id")).where("__id is not null").distinct(), ()), [F.col("__id").asc()])
+    number = cut(ids.joined().select("__id", (F.col("__ahead") + F.row_number().over(ids.local)).cast("bigint").alias("__no")))
+    inner = df.join(number, F.col(f"`{name}`") == F.col("__id"), "left").drop("__id", name).withColumnRenamed("__no", name)
+    out = run(inner)
+    for c in (name, "component_id"):
+        back = number.select(F.col("__id").alias("__back"), F.col("__no").alias("__at"))
+        out = out.join(back, F.col(c) == F.col("__at"), "left").select(*[F.col("__back").alias(x) if x == c else F.col(x) for x in out.columns])
+    return out
+
+
 def map_texts(
     df: DataFrame,
     text: str,

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_texts, tidy
+from tessera.llm.common import by_number, map_texts, tidy
 from tessera.operators.components import components, cut
 
 #: Rows of one probe key above which the key is dealt out in pairs of tiles.
@@ -247,9 +247,15 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     Equal fingerprints are linked (so are all null and empty texts, whose
     fingerprint is zero).  Only distinct fingerprints are compared.  Rows
     with a null id link nothing, and take the component of their
-    fingerprint's other documents, else null.  Repeated rows stay.
+    fingerprint's other documents, else null.  Repeated rows stay.  Ids are of
+    any type that has an order.
     """
-    prints = cut(fingerprints(df.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"), *keep), keep=("doc_id", *keep), width=width))
+    df = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), *keep)
+    return by_number(df, "doc_id", lambda rows: _near(rows, width, max_bits, keep))
+
+
+def _near(df: DataFrame, width: int, max_bits: int, keep: tuple[str, ...]) -> DataFrame:
+    prints = cut(fingerprints(df.withColumn("doc_id", F.col("doc_id").cast("bigint")), keep=("doc_id", *keep), width=width))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     found = links(distinct.where("rep is not null"), max_bits)
     of = components(found, "a", "b")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import tidy
+from tessera.llm.common import by_number, tidy
 from tessera.llm.simhash import _forest
 from tessera.operators.components import components, cut
 
@@ -92,10 +92,15 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
 
     Vectors that are null, empty, zero or hold null or non-finite components
     link with nothing, nor do vectors of different lengths with each other.
-    Equal vectors are linked.  Ids are whole numbers.  Rows with a null id count as no vector: no
+    Equal vectors are linked.  Ids are of any type that has an order.  Rows with a null id count as no vector: no
     links, null component, not kept.  Repeated ids are vectors of their own.
     """
-    rows = df.select(F.col(f"`{vec_id}`").cast("bigint").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
+    rows = df.select(F.col(f"`{vec_id}`").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
+    return by_number(rows, "vec_id", lambda rows: _near(rows, threshold))
+
+
+def _near(rows: DataFrame, threshold: float) -> DataFrame:
+    rows = rows.withColumn("vec_id", F.col("vec_id").cast("bigint"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     fit = F.coalesce(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("v", F.when(fit, F.col("v")))

@@ -224,6 +224,20 @@ def test_fingerprints_of_nothing(spark):
     assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == [(3, 3), (3, 3)]
 
 
+def test_ids_of_text(spark):
+    """Texts as ids: the same groups, named by the least text."""
+    rows = [(i, t) for i, t in enumerate(texts(1, 25)) if i != 3] + [(None, "w1 w2 w3")]
+    named = spark.createDataFrame([(None if i is None else f"id{i:03d}", t) for i, t in rows], "doc_id string, text string")
+    of = brute_classes([(i, brute_print(t)) for i, t in rows if i is not None], 3)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(named).collect() if r.doc_id is not None}
+    assert got == {f"id{i:03d}": f"id{c:03d}" for i, c in of.items()}
+    kept = {r.doc_id: r.n_removed for r in substring.remove_repeats(named, window=7).collect() if r.doc_id is not None}
+    assert kept == {f"id{i:03d}": n for i, _, n, _ in brute_repeats(rows, 7) if i is not None}
+    vecs = [(f"v{i}", v) for i, v in enumerate([[1.0, 0.0], [2.0, 0.0], [0.0, 1.0], [0.0, 0.0]])] + [(None, [1.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(spark.createDataFrame(vecs, "vec_id string, embedding array<float>")).collect()}
+    assert got == {"v0": (1, "v0", True), "v1": (1, "v0", False), "v2": (0, "v2", True), "v3": (0, "v3", True), None: (0, None, False)}
+
+
 # Contamination -----------------------------------------------------------------------
 def brute_hits(text, items, span=13):
     words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
