@@ -382,6 +382,10 @@ def _optimize(lo: Lowering, n: ir.Optimize, outer) -> Scope:
 
 
 # Covers ------------------------------------------------------------------------------
+#: Combinations that an exact cover takes at most.
+DEMANDS = 10_000
+
+
 def cover(rows: np.ndarray, strength: int, exact: bool) -> list[int]:
     """Numbers of rows that hold every combination of values of every
     ``strength`` columns: the row with most new ones, the earliest of equals."""
@@ -394,8 +398,6 @@ def cover(rows: np.ndarray, strength: int, exact: bool) -> list[int]:
             t = (at, tuple(row[list(at)]))
             mine.append(demand.setdefault(t, len(demand)))
         holds.append(np.array(mine))
-    if exact and len(demand) > 10_000:
-        raise AlgebraError("COVER EXACT takes at most 10,000 combinations")
     covered, chosen = np.zeros(len(demand), bool), []
     while not covered.all():
         new = [int((~covered[h]).sum()) for h in holds]
@@ -461,6 +463,10 @@ def _cover(lo: Lowering, n: ir.Cover, outer) -> Scope:
         work = cut(work)  # the numbers of rows must not change between rounds
         if work.count() * len(ids) > ONE_TASK:
             return s.with_df(_wide_cover(work, ids, strength).select(*ids))
+    else:  # counted before the rows are gathered
+        counts = work.agg(*[F.count_distinct(F.struct(*at)) for at in combinations(ids, min(strength, len(ids)))]).first()
+        if sum(counts) > DEMANDS:
+            raise AlgebraError(f"COVER EXACT takes at most {DEMANDS:,} combinations")
 
     def group(pdf):
         pdf = pdf.sort_values("__seq").reset_index(drop=True)

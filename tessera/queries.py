@@ -44,7 +44,7 @@ def oracle_sql() -> dict[str, str]:
     return {k: sql for k, (_, sql) in (*ALGEBRA.items(), *OTHER.items()) if sql}
 
 
-FLAGSHIP = "LIMIT 10 (SORT revenue DESC (GROUP l_returnflag, SUM(l_extendedprice * (1 - l_discount)) -> revenue (SELECT l_quantity > 10 (lineitem))))"
+FLAGSHIP = "LIMIT 10 (SORT revenue DESC (PROJECT l_returnflag, ROUND(r, 2) -> revenue (GROUP l_returnflag, SUM(l_extendedprice * (1 - l_discount)) -> r (SELECT l_quantity > 10 (lineitem)))))"
 
 # The unary core -----------------------------------------------------------------
 _q("scan", "nation", "SELECT * FROM nation")
@@ -55,7 +55,7 @@ _q("distinct", "δ (π o_custkey, o_orderpriority (orders))", "SELECT DISTINCT o
 _q("sort_limit", "λ 10 (τ o_totalprice DESC, o_orderkey ASC (orders))", "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 _q("limit_offset", "LIMIT 10 OFFSET 20 (SORT o_orderkey (orders))", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 20")
 _q("fetch_with_ties", "OFFSET 5 ROWS FETCH NEXT 3 ROWS WITH TIES (SORT n_regionkey (nation))", "SELECT n_nationkey, n_name, n_regionkey FROM (SELECT *, rank() OVER (ORDER BY n_regionkey) r, row_number() OVER (ORDER BY n_regionkey) i FROM nation) WHERE i > 5 AND r <= 8")
-_q("flagship", FLAGSHIP.replace("revenue (SELECT", "r (SELECT").replace("SORT revenue DESC", "SORT revenue DESC (PROJECT l_returnflag, ROUND(r, 2) -> revenue").replace("(lineitem))))", "(lineitem)))))"), "SELECT l_returnflag, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem WHERE l_quantity > 10 GROUP BY l_returnflag ORDER BY revenue DESC LIMIT 10")
+_q("flagship", FLAGSHIP, "SELECT l_returnflag, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem WHERE l_quantity > 10 GROUP BY l_returnflag ORDER BY revenue DESC LIMIT 10")
 _q("truth_relations", "(nation × UNIT) ⊎ (nation × EMPTY)", "SELECT * FROM nation")
 
 # Joins ----------------------------------------------------------------------------

@@ -112,3 +112,12 @@ def test_a_table_in_parts(session, url, ends):
 def test_a_connection_takes_no_other_keys(session):
     with pytest.raises(AlgebraError, match="has no colour"):
         session.script('connection d from database { url: "jdbc:derby:x", colour: "red" };')
+
+
+def test_mongodb_without_its_connector(session):
+    session.script('connection m from mongodb { uri: "mongodb://nowhere", database: "d" }; source C from m { table: "c" };')
+    with pytest.raises(AlgebraError, match="connector is not installed"):
+        session.relation("C").df
+    session.script('connection n from mongodb { database: "d" }; source D from n { table: "c" };')
+    with pytest.raises(AlgebraError, match="has a uri"):
+        session.relation("D").df

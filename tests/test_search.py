@@ -61,3 +61,11 @@ def test_bounds_of_weights():
     assert got[0] == -14 and got[1].tolist() == [6, 4]
     assert search.simplex(np.array([-1.0]), np.zeros((0, 1)), np.zeros(0), [], np.zeros(1), np.array([np.inf])) is None
     assert search.simplex(np.array([1.0]), np.array([[1.0]]), np.array([5.0]), [">="], np.zeros(1), np.ones(1)) is None
+
+
+def test_an_exact_cover_counts_before_it_gathers(session, monkeypatch):
+    session.source("R", [(i % 4, i % 3) for i in range(12)], "a int, b int")
+    assert session.relation("COVER EXACT 2 (R)").count() == 12
+    monkeypatch.setattr(search, "DEMANDS", 11)
+    with pytest.raises(AlgebraError, match="at most 11"):
+        session.relation("COVER EXACT 2 (R)").df
