@@ -69,6 +69,44 @@ PAGES = {
 }
 
 
+L = "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(6))
+#: Names as sites have them.
+PAGES |= {
+    'comment-section': (f"<article>{P}</article><div class='comment-section'><p>{NO}</p><p>{NO}</p></div>", T),
+    'userComments camel': (f"<article>{P}</article><div id='userComments'><p>{NO}</p></div>", T),
+    'commentsWrapper in article': (f"<article>{P}<div class='commentsWrapper'><p>{NO}</p></div></article>", T),
+    'disqus': (f"<main>{P}<div id='disqus_thread'><p>{NO}</p></div></main>", T),
+    'article as comments list': (f"<main><article>{P}</article><ol class='comment-list'><li class='comment'><article class='comment-body'><p>{NO}</p></article></li></ol></main>", T),
+    'adverts': (f"<article><p>{A}</p><div class='advertisement'>{NO}</div><p>{B}</p><ins class='adsbygoogle'>{NO}</ins><p>{C}</p></article>", T),
+    'ad-banner': (f"<div class='ad-banner'>{NO}</div><article>{P}</article>", T),
+    'google-ad': (f"<article>{P}<div id='google-ads-1'>{NO}</div></article>", T),
+    'share bar': (f"<article><h1>High</h1><div class='share-bar'><a>Tweet</a> <a>Mail</a></div>{P}</article>", f"High {T}"),
+    'page-header': (f"<div class='page-header'><h1>Site</h1><p>{NO}</p></div><div class='page-content'>{P}</div>", T),
+    'topnav': (f"<div class='topnav'><a>Home</a><a>News</a></div>{P}", T),
+    'main-menu': (f"<ul class='main-menu'>{L}</ul><div class='main'>{P}</div>", T),
+    'footer-links': (f"<div>{P}</div><div class='footer-links'><ul>{L}</ul></div>", T),
+    'copyright': (f"<article>{P}</article><p class='copyright'>Copyright 2024 The Daily. All rights reserved.</p>", T),
+    'plain footer': (f"{P}<footer><p>{NO}</p></footer>", T),
+    'cookie bar': (f"<div id='cookie-bar' role='dialog'><p>{NO}</p></div><div class='container'><div class='row'><div class='col-md-8'><h1>High</h1>{P}</div><div class='col-md-4 sidebar'><ul>{L}</ul></div></div></div>", f"High {T}"),
+    'bootstrap': (f"<nav class='navbar navbar-default'><ul class='nav'>{L}</ul></nav><div class='container'>{P}</div>", T),
+    'subscribe': (f"<article><p>{A}</p><div class='subscribe-box'><p>{NO}</p></div><p>{B}</p></article>", f"{A} {B}"),
+    'wp': (f"<div id='page' class='site'><header id='masthead' class='site-header'><p>{NO}</p></header><div id='content' class='site-content'><main id='main' class='site-main'><article id='post-1' class='post-1 post type-post hentry category-news'><header class='entry-header'><h1 class='entry-title'>High</h1></header><div class='entry-content'>{P}</div><footer class='entry-footer'>Posted in News</footer></article><div id='comments' class='comments-area'><p>{NO}</p></div></main></div><aside id='secondary' class='widget-area'><p>{NO}</p></aside><footer id='colophon' class='site-footer'>{NO}</footer></div>", f"High {T}"),
+    'login': (f"<div class='login-form'><form><input><label>Name</label></form></div><article>{P}</article>", T),
+    'search': (f"<form role='search'><label>Search</label><input></form><main>{P}</main>", T),
+    'link para': (f"<article><p>{A}</p><p><a href=x>{B}</a></p><p>{C}</p></article>", T),
+    'list of links in article': (f"<article><p>{A}</p><ul>{L}</ul><p>{B}</p></article>", f"{A} "+" ".join(f"Link {i}" for i in range(6))+f" {B}"),
+    'address': (f"<article>{P}<address>Ann Lee, Mill Road</address></article>", f"{T} Ann Lee, Mill Road"),
+    'details': (f"<article>{P}<details><summary>More</summary><p>{A}</p></details></article>", f"{T} More {A}"),
+    'pre': (f"<article><p>{A}</p><pre>x = 1\n  y = 2</pre></article>", f"{A} x = 1 y = 2"),
+    'nested inline': (f"<article><p><span>{A}</span> <em>{B}</em></p></article>", f"{A} {B}"),
+    'aria comment': (f"<article>{P}</article><section aria-label='Comments' class='thread'><p>{NO}</p></section>", T),
+    'responses': (f"<article>{P}</article><div class='responses'><p>{NO}</p></div>", T),
+    'newsletter-signup': (f"<article><p>{A}</p><aside class='newsletter-signup'><p>{NO}</p></aside><p>{B}</p></article>", f"{A} {B}"),
+    'related section in': (f"<article>{P}<section class='related'><h2>Related</h2><ul>{L}</ul></section></article>", T),
+    'short para between': (f"<article><p>{A}</p><p>Yes.</p><p>{B}</p></article>", f"{A} Yes. {B}"),
+}
+
+
 @pytest.fixture(scope="module")
 def weights():
     return extract.trained()
