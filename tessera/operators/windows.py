@@ -230,6 +230,49 @@ def _wide_running(lo: Lowering, s: Scope, n: ir.Rolling, outer) -> Scope:
     return Scope(df.select(*[k.id for k in s.cols], value.alias(new.id)), (*s.cols, new))
 
 
+#: Rows of a stretch that one task frames, about.
+STRETCH = 200_000
+
+
+def _wide_rows(lo: Lowering, s: Scope, keys, frame: ir.WinFrame, value, name: str, outer) -> Scope:
+    """A frame of so many rows before and after, over all rows: stretches of
+    the order, each with the rows of its neighbours that its frames reach."""
+    first, last = _rows(frame.lo), _rows(frame.hi)
+    r = Ranges(s, lo.sort_columns(keys, s, outer))
+    df = cut(r.joined().select(*[x.id for x in s.cols], (F.col("__ahead") + F.row_number().over(r.local) - 1).cast("bigint").alias("__n")))  # ties stay as numbered
+    size = max(STRETCH, abs(first), abs(last))
+    stretch = lambda n: F.floor(n / size).cast("bigint")
+    own = stretch(F.col("__n"))
+    seen = F.sequence(F.least(own, F.greatest(stretch(F.col("__n") - last), F.lit(0))), F.greatest(own, stretch(F.col("__n") - first)))
+    df = df.withColumn("__own", own).withColumn("__w", F.explode(seen))
+    new = _new(s, name)
+    w = Window.partitionBy("__w").orderBy("__n").rowsBetween(first, last)
+    df = df.withColumn(new.id, value(lambda f: f.over(w))).filter(F.col("__w") == F.col("__own"))
+    return Scope(df.select(*[x.id for x in s.cols], new.id), (*s.cols, new))
+
+
+def _is_bounded(frame: ir.WinFrame | None) -> bool:
+    return frame is not None and frame.unit == "rows" and all(b.kind not in ("first", "last") for b in (frame.lo, frame.hi))
+
+
+def _wide_value(lo: Lowering, s: Scope, n: ir.Window, args: list, frame: ir.WinFrame, f, outer) -> Scope | None:
+    """FIRST_VALUE from the first row on (one broadcast row), LAST_VALUE up
+    to the peers of a row (which share a range), and bounded frames."""
+    if _is_bounded(frame):
+        return _wide_rows(lo, s, n.keys, frame, lambda run: run(f), n.name, outer)
+    order = lo.sort_columns(n.keys, s, outer)
+    if n.func == "FIRST_VALUE" and frame.lo.kind == "first" and frame.hi.kind in ("current", "last"):
+        new = _new(s, n.name)
+        one = s.df.orderBy(*order).limit(1).select(args[0].alias(new.id))
+        return Scope(s.df.join(F.broadcast(one), how="cross"), (*s.cols, new))
+    if n.func == "LAST_VALUE" and frame.unit == "range" and (frame.lo.kind, frame.hi.kind) == ("first", "current"):
+        r = Ranges(s, order)
+        new = _new(s, n.name)
+        value = F.last(args[0]).over(r.local.rangeBetween(Window.currentRow, Window.currentRow))
+        return Scope(r.df.select(*[x.id for x in s.cols], value.alias(new.id)), (*s.cols, new))
+    return None
+
+
 @handles(ir.Rolling)
 def _rolling(lo: Lowering, n: ir.Rolling, outer) -> Scope:
     s = lo.finite(n.input, outer)
@@ -238,13 +281,16 @@ def _rolling(lo: Lowering, n: ir.Rolling, outer) -> Scope:
     if not n.per and n.keys and n.func in ("SUM", "COUNT", "MIN", "MAX") and (n.frame.unit, n.frame.lo.kind, n.frame.hi.kind) == ("rows", "first", "current") and is_wide(s):
         return _wide_running(lo, s, n, outer)
     x = lo.value(n.arg, s, outer)
-    run = lambda f: over(lo, s, f, n.per, n.keys, n.frame, outer)
-    if n.func == "AVG" and not isinstance(lo.type(x, s), (T.DoubleType, T.FloatType)):
-        total, count = run(F.sum(x)), run(F.count(x))
-        value = F.when(count > 0, F.round(total.cast("decimal(38,10)") / count, 10))
-    else:
-        value = run(aggregates.build(lo, ir.Agg(n.func, (n.arg,), False, (), None, None), s, outer))
-    return s.add(value, n.name)
+
+    def value(run):
+        if n.func == "AVG" and not isinstance(lo.type(x, s), (T.DoubleType, T.FloatType)):
+            total, count = run(F.sum(x)), run(F.count(x))
+            return F.when(count > 0, F.round(total.cast("decimal(38,10)") / count, 10))
+        return run(aggregates.build(lo, ir.Agg(n.func, (n.arg,), False, (), None, None), s, outer))
+
+    if not n.per and n.keys and _is_bounded(n.frame) and is_wide(s):
+        return _wide_rows(lo, s, n.keys, n.frame, value, n.name, outer)
+    return s.add(value(lambda f: over(lo, s, f, n.per, n.keys, n.frame, outer)), n.name)
 
 
 @handles(ir.Window)
@@ -277,6 +323,10 @@ def _window(lo: Lowering, n: ir.Window, outer) -> Scope:
             raise AlgebraError("NTH_VALUE takes a whole number from 1")
         f = {"FIRST_VALUE": lambda: F.first(args[0]), "LAST_VALUE": lambda: F.last(args[0]), "NTH_VALUE": lambda: F.nth_value(args[0], lits[1])}[n.func]()
         frame = n.frame or ir.WinFrame("range", ir.Bound("first", None), ir.Bound("current", None))
+        if not n.per and n.keys and is_wide(s):
+            wide = _wide_value(lo, s, n, args, frame, f, outer)
+            if wide is not None:
+                return wide
         if frame.unit == "range" and all(b.kind in ("first", "last", "current") for b in (frame.lo, frame.hi)):
             names = {"first": Window.unboundedPreceding, "last": Window.unboundedFollowing, "current": Window.currentRow}
             value = f.over(plain.rangeBetween(names[frame.lo.kind], names[frame.hi.kind]))
