@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -131,10 +132,14 @@ def _lay(texts: list[str], known: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return np.concatenate(parts), np.array(starts), feats
 
 
-def _begin(model: Model, seen: list[set[int]], y: np.ndarray) -> None:
+def _begin(model: Model, seen: Iterable[set[int]], y: np.ndarray) -> None:
     """Embeddings to begin with: the first number is the log odds of the
     label given the word or beginning, over its standard error."""
-    all_, toxic = (Counter(f for s, v in zip(seen, y) if v >= least for f in s) for least in (0, 1))
+    all_, toxic = Counter(), Counter()
+    for s, v in zip(seen, y):
+        all_.update(s)
+        if v == 1:
+            toxic.update(s)
     rows = np.array([f for f, n in all_.items() if n >= LEAST], np.int64)
     model.known[rows] = True
     a = np.array([toxic[f] for f in rows.tolist()], np.float64)
@@ -158,7 +163,7 @@ def train(texts: list[str], labels: list[int], langs: list[str | None], rounds:
         return model
     rng = np.random.default_rng(seed)
     used = rng.permutation(len(texts))
-    _begin(model, [{f for w in set(_WORD.findall(t.lower())) for f in _features(w)} for t in texts], y)
+    _begin(model, ({f for w in set(_WORD.findall(t.lower())) for f in _features(w)} for t in texts), y)
     weight = np.where(y == 1, min(4.0, (y == 0).sum() / (y == 1).sum()), 1.0)
     params = [model.table, *model.filters, model.bias, model.out]
     sq = [np.full(p.shape, 1e-4, np.float32) for p in params]
