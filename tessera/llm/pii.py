@@ -71,7 +71,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             last = max(last, at + 1)
             at += 1
     if "." in text:
-        out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(x.lstrip("0")) < 4 and int(x) < 256 for x in m[0].split("."))]
+        out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(x) < 4 and int(x or 0) < 256 for x in (y.lstrip("0") for y in m[0].split(".")))]
     out += [(2, m.start(), m.end()) for m in _CARD.finditer(text) if m.end() - m.start() >= 13 and _is_card(m[0])]
     if "+" in text:
         out += [(3, m.start(), m.end()) for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
@@ -382,9 +382,9 @@ def _redact(text: str, spans: list[tuple[int, int, int, bool]]) -> str:
 
 
 def digest(found: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Counts by kind (all spans), the hash of the base spans, all spans."""
+    """Counts by kind and the hash of the base spans, then all spans."""
     show = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))
-    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == F.lit(k))).cast("bigint")
+    count = lambda k: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == F.lit(k)))).cast("bigint")
     counts = [count(k).alias(f"n_{k}") for k in KINDS]
     base = F.array_join(F.transform(F.filter("spans", lambda s: s["base"]), show), ",")
     return found.select(*keep, *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), F.array_join(F.transform("spans", show), ",").alias("spans"))

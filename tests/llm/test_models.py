@@ -139,6 +139,14 @@ def test_personal_data_in_odd_texts(spark):
     assert pii.detect(documents(spark, []), pii.trained(), redacted=True).count() == 0
 
 
+def test_counts_and_hash_are_of_the_rules_spans_alone(spark):
+    text = "write to anna.bell [at] mailhost [dot] org or zoe@b.co, at " + "0" * 5000 + "1.2.3.4"
+    assert any(not base for *_, base in pii.find([text], pii.trained())[0])  # the network adds one
+    (r,) = pii.digest(pii.detect(documents(spark, [(1, text)]), pii.trained())).collect()
+    found = pii.base_spans(text)
+    assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == i for k, *_ in found) for i in range(4)) == (1, 1, 0, 0)
+
+
 PAGE = """<html><head><title>T</title><script>var x = "<p>no</p>";</script><style>p{{}}</style></head><body>
 <header class="site-header"><a href="/">Home</a></header><nav><ul><li><a>One</a></li><li><a>Two</a></li></ul></nav>
 <div class="cookie-notice"><p>We use cookies on this site to improve everything.</p></div>
