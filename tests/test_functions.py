@@ -31,6 +31,14 @@ def test_dates(session):
     assert value(session, "DATEADD('day', 2, DATE '2026-03-01')") == datetime.date(2026, 3, 3)
 
 
+def test_parts_of_durations_are_not_rounded_up(session):
+    assert value(session, "MINUTES(DURATION 'PT59.999999S')") == 0
+    assert value(session, "DAYS(DURATION 'PT23H59M59.99S')") == 0
+    assert value(session, "SECONDS(DURATION 'PT0S' - DURATION 'PT0.5S')") == -1
+    assert value(session, "MINUTES(DURATION 'PT0S' - DURATION 'PT90S')") == -1
+    assert value(session, "DAYS(DURATION 'P2DT1H')") == 2
+
+
 @pytest.mark.parametrize("text", ["Log(0)", "Sqr(-1)", "Asin(2)", "CStr(NULL)", "CBool('perhaps')", "1 / 0", "MAKE_DATE(2026, 13, 1)"])
 def test_errors_are_errors(session, text):
     with pytest.raises(Exception):
