@@ -133,3 +133,18 @@ def test_keyless_as_of_in_ranges(session, monkeypatch, op):
     assert "RangePartitioning" in df._jdf.queryExecution().toString() or "__p" in df._jdf.queryExecution().toString()
     near = {">=": lambda t: max((u for _, u in right if u is not None and u <= t), default=None), ">": lambda t: max((u for _, u in right if u is not None and u < t), default=None), "<=": lambda t: min((u for _, u in right if u is not None and u >= t), default=None), "<": lambda t: min((u for _, u in right if u is not None and u > t), default=None)}[op]
     assert narrow == sorted(((i, None if t is None else near(t)) for i, t in left), key=repr)
+
+
+def test_not_in_is_no_nested_loop_over_its_rows(spark, session):
+    session.source("L", [(1, "x"), (2, "y"), (None, "z")], "k int, a string")
+    session.source("R", [(1, 5), (3, 5), (None, 6)], "k int, v int")
+    for where, wanted in (("v = 5", [(2, "y")]), ("v = 6", []), ("v > 4", []), ("v = 9", [(1, "x"), (2, "y"), (None, "z")])):
+        rel = session.relation(f"σ k NOT IN (π k (σ {where} (R))) (L)")
+        assert rows(rel) == sorted(wanted, key=repr), where
+    assert rows(session.relation("π a (σ L.k NOT IN (π k (σ R.k = L.k (R))) (L))")) == [("y",), ("z",)]  # reads the row at hand
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = session.relation("σ k NOT IN (π k (R)) (L)").df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan and not any("NestedLoop" in line and "LeftAnti" in line for line in plan.splitlines())
