@@ -29,3 +29,10 @@ def test_wide_frames(session, monkeypatch, name):
     df = session.relation(FRAMES[name]).df
     assert rows(df) == narrow
     assert "Exchange SinglePartition" not in df._jdf.queryExecution().executedPlan().toString() or name == "first"
+
+
+def test_a_window_over_millions_of_rows_is_no_single_task(spark):
+    from tessera.plans.scope import Scope
+
+    assert windows.is_wide(Scope(spark.range(6_000_000), ()))  # 48 MB; in one task it held several times as much
+    assert not windows.is_wide(Scope(spark.range(60_000), ()))
