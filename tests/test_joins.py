@@ -148,3 +148,13 @@ def test_not_in_is_no_nested_loop_over_its_rows(spark, session):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in plan and "LeftAnti" in plan and not any("NestedLoop" in line and "LeftAnti" in line for line in plan.splitlines())
+
+
+def test_a_small_table_of_repeated_keys_is_joined_by_many_tasks(spark, monkeypatch):
+    from tessera import queries
+
+    run = queries.queries()["join_using"]
+    wanted = rows(run(spark, "/root/testdata/sf0.001"))
+    monkeypatch.setattr(joins, "LITTLE", 0)
+    df = run(spark, "/root/testdata/sf0.001")
+    assert rows(df) == wanted and df.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
