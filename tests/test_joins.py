@@ -158,3 +158,11 @@ def test_a_small_table_of_repeated_keys_is_joined_by_many_tasks(spark, monkeypat
     monkeypatch.setattr(joins, "LITTLE", 0)
     df = run(spark, "/root/testdata/sf0.001")
     assert rows(df) == wanted and df.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_equal_texts_meet_others_once(session, monkeypatch):
+    met, plain = [], joins._by_tokens
+    monkeypatch.setattr(joins, "_by_tokens", lambda x, y, *a, **k: met.append((x.df.count(), y.df.count())) or plain(x, y, *a, **k))
+    session.source("A", [(i, f"name number {i % 4:04d}") for i in range(12)] + [(99, None)], "i int, s string")
+    got = rows(session.relation("π a.i, b.i → j ((ρ a (A)) ⨝ EditSimilarity(a.s, b.s) >= 0.9 ∧ a.i < b.i (ρ b (A)))"))
+    assert got == sorted(((i, j) for i in range(12) for j in range(i + 1, 12)), key=repr) and met == [(4, 4)]
