@@ -51,6 +51,32 @@ def test_intervals_of_points_alone(session):
     assert rows(session.relation("π i, j (L IJOIN INTERSECTS (a, b, x, y) (σ j > 1 (R)))")) == []
 
 
+@pytest.mark.parametrize("relation", MEET)
+def test_intervals_with_the_larger_side_on_the_right(session, monkeypatch, relation):
+    monkeypatch.setattr(joins, "LITTLE", 0)
+    left, right = intervals(7, 40), intervals(8, 120)
+    session.source("L", left, "i int, a double, b double").source("R", right, "j int, x double, y double")
+    wanted = sorted((i, j) for i, a, b in left for j, x, y in right if None not in (a, b, x, y) and MEET[relation](a, b, x, y))
+    assert sorted((r.i, r.j) for r in session.relation(f"π i, j (L IJOIN {relation} (a, b, x, y) R)").df.collect()) == wanted and wanted
+
+
+@pytest.fixture
+def sent(spark, monkeypatch):
+    """The rows of both sides of each join."""
+    out, kind = [], type(spark.range(1))
+    plain = kind.join
+    monkeypatch.setattr(kind, "join", lambda l, r, *a: out.append((l.count(), r.count())) or plain(l, r, *a))
+    return out
+
+
+def test_the_shorter_intervals_go_to_one_bucket(session, sent):
+    """As interval_join_during: minutes in half hours."""
+    session.source("L", [(i, 10 * i, 10 * i + 60) for i in range(2000)], "i int, a int, b int").source("R", [(i, 10 * i, 10 * i + 1800) for i in range(2000)], "j int, x int, y int")
+    df = session.relation("π i, j (L IJOIN DURING (a, b, x, y) R)").df
+    assert df.count() == sum(10 * j < 10 * i and 10 * i + 60 < 10 * j + 1800 for i in range(2000) for j in range(2000))
+    assert sent[0][0] == 2000 and sent[0][1] < 2 * 2000
+
+
 def names(seed, n):
     rng = random.Random(seed)
     first, last = ["maria", "jon", "jonathan", "li", "anna", "bob", ""], ["smith", "smyth", "schmidt", "o'neil", "lee", "de la cruz"]
