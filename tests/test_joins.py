@@ -55,6 +55,7 @@ def test_intervals_of_points_alone(session):
 def test_intervals_with_the_larger_side_on_the_right(session, monkeypatch, relation):
     monkeypatch.setattr(joins, "LITTLE", 0)
     left, right = intervals(7, 40), intervals(8, 120)
+    monkeypatch.setattr(joins, "_bytes", lambda df: df.count())
     session.source("L", left, "i int, a double, b double").source("R", right, "j int, x double, y double")
     wanted = sorted((i, j) for i, a, b in left for j, x, y in right if None not in (a, b, x, y) and MEET[relation](a, b, x, y))
     assert sorted((r.i, r.j) for r in session.relation(f"π i, j (L IJOIN {relation} (a, b, x, y) R)").df.collect()) == wanted and wanted
@@ -77,6 +78,18 @@ def test_the_shorter_intervals_go_to_one_bucket(session, sent):
     assert sent[0][0] == 2000 and sent[0][1] < 2 * 2000
 
 
+def test_the_larger_side_of_intervals_is_sent_once(spark, session, sent, monkeypatch):
+    """As interval_join: rows of the same day, the larger table on the right."""
+    monkeypatch.setattr(joins, "LITTLE", 0)
+    session.table("L", spark.range(300).selectExpr("id AS i", "24 * (id % 10) AS a", "24 * (id % 10) + 1 AS b"))
+    session.table("R", spark.range(2000).selectExpr("id AS j", "24 * (id % 10) AS x", "24 * (id % 10) + 1 AS y"))
+    df = session.relation("π i, j (L IJOIN INTERSECTS (a, b, x, y) R)").df
+    assert df.count() == 300 * 2000 // 10 and df.columns == ["i", "j"]
+    assert sent[0][0] == 2000 and sent[0][1] <= 3 * 300
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def names(seed, n):
     rng = random.Random(seed)
     first, last = ["maria", "jon", "jonathan", "li", "anna", "bob", ""], ["smith", "smyth", "schmidt", "o'neil", "lee", "de la cruz"]
